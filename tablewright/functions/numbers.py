@@ -71,3 +71,10 @@ def percent(part: Column, total: Column, empty: int = 100) -> Column:
 
 def clamp(c: Column, low: int, high: int = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def float_text(x: Column) -> Column:
+    """Shortest decimal text of a double, in plain digits up to 1e16 where the cast would use an exponent."""
+    digits = F.regexp_replace(x.try_cast("decimal(38,15)").cast("string"), r"0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16), plain).otherwise(x.cast("string"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.numbers import parse_money, parse_plain
+from tablewright.functions.numbers import float_text, parse_money, parse_plain
 from tablewright.functions.text import EMPTY_FIX, is_empty, strip, title_case
+from tablewright.session import cut_lineage
 from tablewright.operators.columns import ROW, data_columns, exact_quantiles, fences, number_cells, text_cells, value_counts
 
 STEPS = ("remove_duplicates", "normalize_cities", "fill_missing", "remove_anomalies")
@@ -44,24 +45,22 @@ def fill_values(df: DataFrame) -> DataFrame:
     )
     modes = value_counts(worded).groupBy("ord").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"))
     joined = gaps.join(F.broadcast(medians), "ord", "left").join(F.broadcast(modes), "ord", "left")
-    return joined.select("ord", F.coalesce(F.col("q0").cast("string"), "mode", F.lit("Unknown")).alias("fill"))
+    return joined.select("ord", F.coalesce(float_text(F.col("q0")), "mode", F.lit("Unknown")).alias("fill"))
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
-    """Replace empty cells; the replacements are one small scalar, computed once."""
-    pairs = F.collect_list(F.struct("ord", "fill"))
-    fills = fill_values(df).agg(F.map_from_entries(pairs)).scalar()
+    """Replace empty cells. The replacements, one per column, are fetched and become constants of the scan."""
+    fills = {row["ord"]: row["fill"] for row in fill_values(df).collect()}
     place = {c: i for i, c in enumerate(data_columns(df))}
-    return df.select(
-        *[
-            F.when(
-                is_empty(F.col(f"`{c}`").cast("string"), EMPTY_FIX), F.try_element_at(fills, F.lit(place[c]))
-            ).otherwise(F.col(f"`{c}`").cast("string")).alias(c)
-            if c in place
-            else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+
+    def filled(name: str) -> F.Column:
+        cell = F.col(f"`{name}`")
+        if place.get(name) not in fills:
+            return cell
+        text = cell.cast("string")
+        return F.when(is_empty(text, EMPTY_FIX), F.lit(fills[place[name]])).otherwise(text).alias(name)
+
+    return df.select(*[filled(c) for c in df.columns])
 
 
 def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -99,11 +98,20 @@ def remove_outliers_single_pass(df: DataFrame) -> DataFrame:
 
 
 def apply_fixes(df: DataFrame, selected: Sequence[str]) -> DataFrame:
-    """The selected fixes in their fixed order."""
-    steps = dict(zip(STEPS, (remove_duplicates, normalize_case, fill_missing, remove_outliers)))
-    for name, step in steps.items():
-        if name in selected:
-            df = step(df)
+    """The selected fixes in their fixed order.
+
+    The last two steps read their input several times, so a shuffled input is written out once before them.
+    """
+    if "remove_duplicates" in selected:
+        df = remove_duplicates(df)
+    if "normalize_cities" in selected:
+        df = normalize_case(df)
+    if "remove_duplicates" in selected and {"fill_missing", "remove_anomalies"} & set(selected):
+        df = cut_lineage(df)
+    if "fill_missing" in selected:
+        df = fill_missing(df)
+    if "remove_anomalies" in selected:
+        df = remove_outliers(df)
     return df
 
 

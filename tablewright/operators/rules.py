@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.dates import parse_date
-from tablewright.functions.numbers import parse_plain, percent, percent_text
+from tablewright.functions.numbers import float_text, parse_plain, percent, percent_text
 from tablewright.functions.text import has_keyword, strip
 from tablewright.operators.columns import ROW, data_columns, text_cells
 
@@ -59,10 +59,10 @@ def violation_text(rule: str, value: Column, as_of: Column) -> Column:
         return F.when(~fine, F.concat(F.lit("Invalid GSTIN format: '"), text, F.lit("'.")))
     if rule == "NON_NEGATIVE":
         x = parse_plain(value)
-        return F.when(x < 0, F.concat(F.lit("Negative value detected: "), x.cast("string"), F.lit(".")))
+        return F.when(x < 0, F.concat(F.lit("Negative value detected: "), float_text(x), F.lit(".")))
     if rule == "PERCENTAGE_CAP":
         x = percent_text(value)
-        return F.when(x > 100, F.concat(F.lit("Percentage exceeds limit: "), x.cast("string"), F.lit("%.")))
+        return F.when(x > 100, F.concat(F.lit("Percentage exceeds limit: "), float_text(x), F.lit("%.")))
     if rule == "PAST_DATE_ONLY":
         day = parse_date(value)
         late = day > as_of + F.expr("INTERVAL 1 DAY")

@@ -162,6 +162,24 @@ SQL = {
                  ELSE 'sap_erp' END AS system_id, ts,
                CASE WHEN event_id % 50 = 0 THEN '{{bad' WHEN event_id % 50 = 1 THEN '{{}}' ELSE props END AS payload
         FROM {events}""",
+    "catalog": """
+        SELECT c_custkey AS _row_idx,
+               CASE WHEN c_custkey = 1 THEN 'retail_sales' WHEN c_custkey = 2 THEN 'customer_churn'
+                 ELSE concat('uploaded_', cast(c_custkey AS string)) END AS dataset_id,
+               CASE c_custkey % 5 WHEN 0 THEN 'Guest' WHEN 1 THEN 'guest' WHEN 2 THEN '' WHEN 3 THEN NULL
+                 ELSE 'System' END AS creator
+        FROM {customer}""",
+    "requests": """
+        SELECT event_id AS _row_idx, CASE user_id % 4 WHEN 0 THEN 'ADMIN' WHEN 1 THEN ' data analyst ' WHEN 2 THEN 'Viewer' ELSE 'ROBOT' END AS role,
+               CASE event_id % 4 WHEN 0 THEN 'view_datasets' WHEN 1 THEN 'merge_datasets' WHEN 2 THEN 'apply_safe_fixes' ELSE 'view_reports' END AS permission
+        FROM {events}""",
+    "people_secret": """
+        SELECT k AS _row_idx, name AS Customer_Name, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 11 = 1 THEN 'ab@x.org' ELSE email END AS Email,
+               CASE WHEN k % 7 = 0 THEN '-' WHEN k % 7 = 1 THEN '12 34' ELSE phone END AS Phone, gstin AS GSTIN,
+               cast(cast(balance AS decimal(18,2)) AS string) AS Revenue,
+               CASE WHEN k % 3 = 0 THEN '120%' WHEN k % 3 = 1 THEN '15' ELSE 'n/a' END AS Discount,
+               CASE WHEN k % 5 = 0 THEN '2031-03-04' WHEN k % 5 = 1 THEN 'soon' ELSE '2020-01-02' END AS Join_Date, 'free text' AS Notes
+        FROM people""",
     "persons_text": """
         SELECT k AS _row_idx, CASE k % 6 WHEN 0 THEN name WHEN 1 THEN upper(name)
                  WHEN 2 THEN concat(substring(name, 1, 4), substring(name, 6, 40)) WHEN 3 THEN concat(name, ' Jr')
@@ -179,6 +197,7 @@ NEEDS = {
     "invoices": ("people",),
     "payments": ("invoices",),
     "persons_text": ("people",),
+    "people_secret": ("people",),
 }
 
 TABLES = (

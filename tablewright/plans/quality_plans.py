@@ -13,7 +13,6 @@ from tablewright.plans import sqltext as q
 from tablewright.plans.fixtures import check_sql, derived
 
 COLUMNS = ["OrderID", "Client", "Phone", "Region", "Revenue", "OrderDate"]
-POSITIVE = "'Revenue'"
 
 
 def messy(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,62 +79,75 @@ QUERIES = {
     "quality_scorecard": lambda s, d: quality.scorecard(messy(s, d), "messy_orders"),
 }
 
-CELLS = f"cells AS ({q.cells('messy_orders', COLUMNS)})"
-FACTS = f"""{CELLS},
-typed AS (SELECT *, {q.cell_type('v')} AS t, {q.money('v')} AS x, {q.empty('v')} AS e FROM cells),
-facts AS (SELECT ord, "column", count(*) AS n, count(v) AS present, count(*) FILTER (e) AS missing,
-  count(*) FILTER (t = 'num') AS num_cells, count(*) FILTER (t = 'date') AS date_cells, count(*) FILTER (t = 'text') AS text_cells,
-  count(*) FILTER (x < 0) AS negatives, count(DISTINCT v) AS cardinality,
-  bool_and(x IS NOT NULL OR {q.money_text('v')} = '') FILTER (v IS NOT NULL) AS all_numeric,
-  avg(x) AS mean, min(x) AS min, max(x) AS max, stddev_samp(x) AS std FROM typed GROUP BY ord, "column"),
-early AS (SELECT ord, bool_and({q.date('v')} IS NOT NULL) AS early FROM (
-  SELECT ord, v, row_number() OVER (PARTITION BY ord ORDER BY _row_idx) AS r FROM cells WHERE v IS NOT NULL) z WHERE r <= 10 GROUP BY ord),
-kinds AS (SELECT f.*, CASE WHEN present > 0 AND all_numeric THEN 'Numeric' WHEN early THEN 'DateTime/Other' ELSE 'Categorical' END AS type
-  FROM facts f LEFT JOIN early e ON f.ord = e.ord)"""
-VARIANTS = f"""spell AS (SELECT ord, "column", lower(s) AS folded, s, min(_row_idx) AS first FROM (
-  SELECT *, {q.strip('v')} AS s FROM cells WHERE NOT {q.empty('v')}) z GROUP BY 1, 2, 3, 4),
-folds AS (SELECT ord, "column", folded, count(*) AS variants, string_agg(s, ', ' ORDER BY first) AS shown FROM spell
-  GROUP BY 1, 2, 3 HAVING count(*) > 1),
-variants AS (SELECT ord, "column", count(*) AS groups, cast(sum(variants - 1) AS BIGINT) AS surplus,
-  min_by(shown, folded) AS example FROM folds GROUP BY 1, 2)"""
-FENCES = """quart AS (SELECT ord, "column", count(x) AS numbers, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b
-  FROM typed WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(x) >= 4),
-fences AS (SELECT ord, "column", numbers, a - 1.5::DOUBLE * (b - a) AS lower_bound, b + 1.5::DOUBLE * (b - a) AS upper_bound FROM quart),
-outl AS (SELECT t.ord, t."column", max(numbers) AS numbers, max(lower_bound) AS lower_bound, max(upper_bound) AS upper_bound,
-  count(*) FILTER (x < lower_bound OR x > upper_bound) AS outliers_count
-  FROM typed t JOIN fences f ON t.ord = f.ord WHERE x IS NOT NULL GROUP BY 1, 2)"""
-DUPS = f"""dups AS (SELECT cast(sum(c) AS BIGINT) AS num_rows, cast(sum(c - 1) AS BIGINT) AS duplicates FROM (
-  SELECT count(*) AS c FROM messy_orders GROUP BY {', '.join(COLUMNS)}) z)"""
+TIERS = {"critical": ["OrderID", "Revenue"], "standard": ["Phone", "OrderDate"], "optional": ["Client", "Region"]}
 MIXED = """CASE WHEN num_cells + date_cells + text_cells = 0 THEN false ELSE
   greatest(num_cells, date_cells, text_cells)::DOUBLE / (num_cells + date_cells + text_cells) < 0.95::DOUBLE END"""
-CHECKS_CTE = f"""checks AS (SELECT f.ord, f."column", n, missing, num_cells, date_cells, text_cells, example, {MIXED} AS mixed,
-  CASE WHEN f."column" IN ({POSITIVE}) THEN negatives ELSE 0 END AS negatives, coalesce(surplus, 0) AS surplus,
-  coalesce(outliers_count, 0) AS outliers
-  FROM facts f LEFT JOIN variants v ON f.ord = v.ord LEFT JOIN outl o ON f.ord = o.ord)"""
-TIERS = {"critical": ["OrderID", "Revenue"], "standard": ["Phone", "OrderDate"], "optional": ["Client", "Region"]}
-TIER_CASE = "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN '{t}'" for t, cs in TIERS.items() for c in cs) + " END"
 
 
 def penalty(count: str, over: str, factor: int, low: int) -> str:
     return f"cast(greatest({low}, least(100, round_even(100 - {count}::DOUBLE / {over} * {factor}, 0))) AS INTEGER)"
 
 
-def scorecard_cte(table: str = "messy_orders") -> str:
-    """Every step down to a ``scores`` row, over ``table`` in place of the messy orders."""
-    text = f"""{FACTS}, {VARIANTS}, {FENCES}, {DUPS}, {CHECKS_CTE},
-sums AS (SELECT sum(n) AS cells, sum(missing) AS missing, sum(surplus) AS surplus, sum(negatives) AS negatives,
-  count(*) FILTER (mixed) AS mixed, sum(outliers) AS outliers,
-  {', '.join(f"sum(n) FILTER ({TIER_CASE} = '{t}') AS {t}_n, sum(missing) FILTER ({TIER_CASE} = '{t}') AS {t}_m" for t in TIERS)}
-  FROM checks),
-dims AS (SELECT {q.pct('(cells - missing)', 'cells')} AS completeness,
-  {', '.join(f"{q.pct(f'({t}_n - {t}_m)', f'{t}_n')} AS {t}_completeness" for t in TIERS)},
+def tier_case(tiers: dict[str, list[str]]) -> str:
+    return "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN '{t}'" for t, cs in tiers.items() for c in cs) + " END"
+
+
+class Steps:
+    """SQL of every step from the cells of one table to its scores."""
+
+    def __init__(self, table: str, columns: list[str], tiers: dict[str, list[str]], positive: list[str], p: str = ""):
+        quoted = ", ".join(f"'{c}'" for c in positive) or "''"
+        self.p, self.tier = p, tier_case(tiers)
+        self.cells = f"{p}cells AS ({q.cells(table, columns)})"
+        self.facts = f"""{self.cells},
+{p}typed AS (SELECT *, {q.cell_type('v')} AS t, {q.money('v')} AS x, {q.empty('v')} AS e FROM {p}cells),
+{p}facts AS (SELECT ord, "column", count(*) AS n, count(v) AS present, count(*) FILTER (e) AS missing,
+  count(*) FILTER (t = 'num') AS num_cells, count(*) FILTER (t = 'date') AS date_cells, count(*) FILTER (t = 'text') AS text_cells,
+  count(*) FILTER (x < 0) AS negatives, count(DISTINCT v) AS cardinality,
+  bool_and(x IS NOT NULL OR {q.money_text('v')} = '') FILTER (v IS NOT NULL) AS all_numeric,
+  avg(x) AS mean, min(x) AS min, max(x) AS max, stddev_samp(x) AS std FROM {p}typed GROUP BY ord, "column"),
+{p}early AS (SELECT ord, bool_and({q.date('v')} IS NOT NULL) AS early FROM (
+  SELECT ord, v, row_number() OVER (PARTITION BY ord ORDER BY _row_idx) AS r FROM {p}cells WHERE v IS NOT NULL) z WHERE r <= 10 GROUP BY ord),
+{p}kinds AS (SELECT f.*, CASE WHEN present > 0 AND all_numeric THEN 'Numeric' WHEN early THEN 'DateTime/Other' ELSE 'Categorical' END AS type
+  FROM {p}facts f LEFT JOIN {p}early e ON f.ord = e.ord)"""
+        self.variants = f"""{p}spell AS (SELECT ord, "column", lower(s) AS folded, s, min(_row_idx) AS first FROM (
+  SELECT *, {q.strip('v')} AS s FROM {p}cells WHERE NOT {q.empty('v')}) z GROUP BY 1, 2, 3, 4),
+{p}folds AS (SELECT ord, "column", folded, count(*) AS variants, string_agg(s, ', ' ORDER BY first) AS shown FROM {p}spell
+  GROUP BY 1, 2, 3 HAVING count(*) > 1),
+{p}variants AS (SELECT ord, "column", count(*) AS groups, cast(sum(variants - 1) AS BIGINT) AS surplus,
+  min_by(shown, folded) AS example FROM {p}folds GROUP BY 1, 2)"""
+        self.fences = f"""{p}quart AS (SELECT ord, "column", count(x) AS numbers, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b
+  FROM {p}typed WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(x) >= 4),
+{p}fences AS (SELECT ord, "column", numbers, a - 1.5::DOUBLE * (b - a) AS lower_bound, b + 1.5::DOUBLE * (b - a) AS upper_bound FROM {p}quart),
+{p}outl AS (SELECT t.ord, t."column", max(numbers) AS numbers, max(lower_bound) AS lower_bound, max(upper_bound) AS upper_bound,
+  count(*) FILTER (x < lower_bound OR x > upper_bound) AS outliers_count
+  FROM {p}typed t JOIN {p}fences f ON t.ord = f.ord WHERE x IS NOT NULL GROUP BY 1, 2)"""
+        self.dups = f"""{p}dups AS (SELECT cast(sum(c) AS BIGINT) AS num_rows, cast(sum(c - 1) AS BIGINT) AS duplicates FROM (
+  SELECT count(*) AS c FROM {table} GROUP BY {', '.join(columns)}) z)"""
+        checks = f"""{p}checks AS (SELECT f.ord, f."column", n, missing, num_cells, date_cells, text_cells, example, {MIXED} AS mixed,
+  CASE WHEN f."column" IN ({quoted}) THEN negatives ELSE 0 END AS negatives, coalesce(surplus, 0) AS surplus,
+  coalesce(outliers_count, 0) AS outliers
+  FROM {p}facts f LEFT JOIN {p}variants v ON f.ord = v.ord LEFT JOIN {p}outl o ON f.ord = o.ord)"""
+        self.all = f"{self.facts}, {self.variants}, {self.fences}, {self.dups}, {checks}"
+        sums = ", ".join(
+            f"sum(n) FILTER ({self.tier} = '{t}') AS {t}_n, sum(missing) FILTER ({self.tier} = '{t}') AS {t}_m" for t in tiers
+        )
+        shares = ", ".join(f"{q.pct(f'({t}_n - {t}_m)', f'{t}_n')} AS {t}_completeness" for t in tiers)
+        self.scores = f"""{self.all},
+{p}sums AS (SELECT sum(n) AS cells, sum(missing) AS missing, sum(surplus) AS surplus, sum(negatives) AS negatives,
+  count(*) FILTER (mixed) AS mixed, sum(outliers) AS outliers, {sums} FROM {p}checks),
+{p}dims AS (SELECT {q.pct('(cells - missing)', 'cells')} AS completeness, {shares},
   {penalty('surplus', 'num_rows', 100, 20)} AS consistency, {penalty('negatives', 'num_rows', 100, 30)} AS validity,
-  {q.pct('(num_rows - duplicates)', 'num_rows')} AS duplicates, {penalty('mixed', str(len(COLUMNS)), 50, 30)} AS structure,
-  {penalty('outliers', 'num_rows', 80, 40)} AS anomalies FROM sums, dups),
-scores AS (SELECT 'messy_orders' AS dataset, *, cast(round_even(completeness * 0.20::DOUBLE + consistency * 0.20::DOUBLE
+  {q.pct('(num_rows - duplicates)', 'num_rows')} AS duplicates, {penalty('mixed', str(len(columns)), 50, 30)} AS structure,
+  {penalty('outliers', 'num_rows', 80, 40)} AS anomalies FROM {p}sums, {p}dups),
+{p}scores AS (SELECT '{table}' AS dataset, *, cast(round_even(completeness * 0.20::DOUBLE + consistency * 0.20::DOUBLE
   + validity * 0.20::DOUBLE + duplicates * 0.15::DOUBLE + structure * 0.15::DOUBLE + anomalies * 0.10::DOUBLE, 0) AS INTEGER)
-  AS overall_quality FROM dims)"""
-    return text if table == "messy_orders" else text.replace("FROM messy_orders", f"FROM {table}")
+  AS overall_quality FROM {p}dims)"""
+
+
+MESSY = Steps("messy_orders", COLUMNS, TIERS, ["Revenue"])
+CELLS, FACTS, VARIANTS, FENCES, DUPS, ALL = MESSY.cells, MESSY.facts, MESSY.variants, MESSY.fences, MESSY.dups, MESSY.all
+TIER_CASE = MESSY.tier
 
 
 def messy_sql(ctes: str, select: str) -> str:
@@ -162,8 +174,6 @@ ISSUE_SQL = f"""SELECT 100000 + ord AS seq, 'missing_' || "column" AS id, "colum
     'Column contains mixed string and numeric inputs (e.g. numeric metrics containing string format units).' FROM checks WHERE mixed
   UNION ALL SELECT 600000 + ord, 'outlier_' || "column", "column", 'High', 'Anomaly', 'Extreme numeric outliers in "' || "column" || '"',
     'Detected ' || outliers || ' statistical outlier elements.' FROM checks WHERE outliers > 0 AND "column" IN ('Revenue')"""
-ALL = f"{FACTS}, {VARIANTS}, {FENCES}, {DUPS}, {CHECKS_CTE}"
-
 STRICT = "regexp_replace(v, '[^0-9.\\-]', '', 'g')"
 CHECKS = {
     "number_parse": messy_sql(
@@ -224,5 +234,5 @@ CHECKS = {
         WHERE (x < lower_bound OR x > upper_bound) AND t."column" IN ('Revenue', 'Phone')""",
     ),
     "quality_issues": messy_sql(ALL, ISSUE_SQL),
-    "quality_scorecard": messy_sql(scorecard_cte(), "SELECT * FROM scores"),
+    "quality_scorecard": messy_sql(MESSY.scores, "SELECT * FROM scores"),
 }
