@@ -22,6 +22,7 @@ from tablewright.functions.text import (
 )
 from tablewright.operators.columns import ROW, data_columns
 from tablewright.operators.leaders import BATCH, ordered_leaders, similar_to
+from tablewright.session import cut_lineage
 
 # Target fields of a unified table, in output order.
 TARGETS = (
@@ -67,16 +68,16 @@ def unify(sources: Sources, mapping: ColumnMap, key: str = "Customer_Name") -> D
                 F.lit(position).alias("_src_pos"),
                 F.col(ROW).cast("bigint").alias(ROW),
                 strip(F.col(f"`{names[sid]}`").cast("string")).alias("name"),
-                F.coalesce(field("Phone"), blank).alias("phone"),
-                F.coalesce(field("Email"), blank).alias("email"),
-                F.coalesce(field("GSTIN"), blank).alias("gstin"),
+                F.coalesce(field("Phone"), blank).alias("rec_phone"),
+                F.coalesce(field("Email"), blank).alias("rec_email"),
+                F.coalesce(field("GSTIN"), blank).alias("rec_gstin"),
                 *[field(t).alias(t) for t in TARGETS],
             ).where(F.col("name") != "")
         )
     records = parts[0]
     for part in parts[1:]:
         records = records.unionByName(part)
-    keys = block_keys(F.col("name"), F.col("phone"), F.col("email"), F.col("gstin"))
+    keys = block_keys(F.col("name"), F.col("rec_phone"), F.col("rec_email"), F.col("rec_gstin"))
     return records.withColumn("_block", F.coalesce(*keys))
 
 
@@ -84,7 +85,7 @@ def _usable(c: Column) -> Column:
     return (c != "") & (F.lower(strip(c)) != "nan")
 
 
-FEATURES = ("sname", "gstin", "email", "phone10", "gstin_ok", "email_ok", "phone_ok")
+FEATURES = ("sname", "rec_gstin", "rec_email", "phone10", "gstin_ok", "email_ok", "phone_ok")
 
 
 def with_features(records: DataFrame) -> DataFrame:
@@ -92,16 +93,16 @@ def with_features(records: DataFrame) -> DataFrame:
     return records.select(
         "*",
         sort_tokens(normalize(F.col("name"))).alias("sname"),
-        last_ten_digits(F.col("phone")).alias("phone10"),
-        _usable(F.col("gstin")).alias("gstin_ok"),
-        _usable(F.col("email")).alias("email_ok"),
-        _usable(F.col("phone")).alias("phone_ok"),
+        last_ten_digits(F.col("rec_phone")).alias("phone10"),
+        _usable(F.col("rec_gstin")).alias("gstin_ok"),
+        _usable(F.col("rec_email")).alias("email_ok"),
+        _usable(F.col("rec_phone")).alias("phone_ok"),
     )
 
 
 def _match(columns: dict[str, np.ndarray], lead: dict[str, object], rows: np.ndarray) -> np.ndarray:
     hit = np.zeros(len(rows), dtype=bool)
-    for field, ok in (("gstin", "gstin_ok"), ("email", "email_ok"), ("phone10", "phone_ok")):
+    for field, ok in (("rec_gstin", "gstin_ok"), ("rec_email", "email_ok"), ("phone10", "phone_ok")):
         if lead[ok]:
             hit |= columns[field][rows] == lead[field]
     open_rows = np.flatnonzero(~hit)
@@ -115,16 +116,16 @@ def resolve(records: DataFrame, batch: int = BATCH) -> DataFrame:
 
     A record is grouped in the block of its strongest key only. Records that the match test cannot tell apart
     are settled as one; blocks where one identifier or name is shared by all are one entity without any
-    comparison; only the others are clustered.
+    comparison; only the others are clustered. The result is written out once, as every later step reads it.
     """
     tier = F.split("_block", "_", 2)[0]
     shared = (
-        F.when(tier == "gstin", F.col("gstin")).when(tier == "email", F.col("email")).when(tier == "phone", F.col("phone10"))
+        F.when(tier == "gstin", F.col("rec_gstin")).when(tier == "email", F.col("rec_email")).when(tier == "phone", F.col("phone10"))
     )
     featured = with_features(records)
     signature = ["_block", *FEATURES]
     forms = featured.where(F.col("_block").isNotNull()).groupBy(*signature).agg(F.min("_rec").alias("node"))
-    forms = forms.withColumn("_shared", F.coalesce(shared, F.col("sname")))
+    forms = cut_lineage(forms.withColumn("_shared", F.coalesce(shared, F.col("sname"))))
     blocks = forms.groupBy("_block").agg(
         F.min("node").alias("first"), (F.min("_shared") == F.max("_shared")).alias("uniform")
     )
@@ -135,7 +136,7 @@ def resolve(records: DataFrame, batch: int = BATCH) -> DataFrame:
     hard = forms.join(leaders, ["_block", "node"]).select(*signature, F.col("leader").alias("_entity_id"))
     settled = simple.unionByName(hard)
     joined = featured.join(settled, signature, "left")
-    return joined.select(*records.columns, F.coalesce("_entity_id", "_rec").alias("_entity_id"))
+    return cut_lineage(joined.select(*records.columns, F.coalesce("_entity_id", "_rec").alias("_entity_id")))
 
 
 def entity_names(resolved: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def match_stats(resolved: DataFrame) -> DataFrame:
 def probable_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Clusters within one table, and their members.
 
-    Four passes, strongest key first. In a pass the first row still free in a block takes the rows that match
+    Four passes, strongest key first, each written out before the next. In a pass the first row still free in a block takes the rows that match
     it; the others stay free for weaker keys.
     """
     columns = data_columns(df)
@@ -215,14 +216,14 @@ def probable_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     base = df.select(
         F.col(ROW).cast("bigint").alias("_rec"),
         F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("nan")).alias("name"),
-        helper(PHONE_NAMES).alias("phone"), helper(EMAIL_NAMES).alias("email"), helper(TAX_NAMES).alias("gstin"),
+        helper(PHONE_NAMES).alias("rec_phone"), helper(EMAIL_NAMES).alias("rec_email"), helper(TAX_NAMES).alias("rec_gstin"),
     )
-    keys = block_keys(F.col("name"), F.col("phone"), F.col("email"), F.col("gstin"))
+    keys = block_keys(F.col("name"), F.col("rec_phone"), F.col("rec_email"), F.col("rec_gstin"))
     free = with_features(base).select("*", *[k.alias(f"_key{i}") for i, k in enumerate(keys)])
     members: DataFrame | None = None
     same = (
-        (F.col("lead.gstin_ok") & (F.col("lead.gstin") == F.col("gstin")))
-        | (F.col("lead.email_ok") & (F.col("lead.email") == F.col("email")))
+        (F.col("lead.gstin_ok") & (F.col("lead.rec_gstin") == F.col("rec_gstin")))
+        | (F.col("lead.email_ok") & (F.col("lead.rec_email") == F.col("rec_email")))
         | (F.col("lead.phone_ok") & (F.col("lead.phone10") == F.col("phone10")))
     )
     lead_name, name = F.col("lead.sname"), F.col("sname")
@@ -237,9 +238,9 @@ def probable_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         compared = compared.withColumn("_same", same)
         quick = compared.where("_same").withColumn("sim", F.lit(100.0))
         slow = compared.where(~F.col("_same") & ~blank).withColumn("sim", token_sort_ratio(lead_name, name))
-        taken = quick.unionByName(slow.where(F.col("sim") >= MATCH_AT)).select(
+        taken = cut_lineage(quick.unionByName(slow.where(F.col("sim") >= MATCH_AT)).select(
             F.col("lead._rec").alias("primary_row"), F.col("lead.name").alias("primary"), F.col("_rec").alias("row"), "name", "sim"
-        )
+        ))
         members = taken if members is None else members.unionByName(taken)
         if i < len(keys) - 1:
             gone = taken.select(F.col("row").alias("_rec")).unionByName(taken.select(F.col("primary_row").alias("_rec")).distinct())

@@ -162,6 +162,17 @@ SQL = {
                  ELSE 'sap_erp' END AS system_id, ts,
                CASE WHEN event_id % 50 = 0 THEN '{{bad' WHEN event_id % 50 = 1 THEN '{{}}' ELSE props END AS payload
         FROM {events}""",
+    "contacts": """
+        SELECT k * 2 AS _row_idx, name AS Customer_Name, CASE WHEN k % 11 = 0 THEN NULL ELSE phone END AS Phone,
+               CASE WHEN k % 4 = 0 THEN email END AS Email, CASE WHEN k % 6 = 0 THEN gstin END AS GSTIN FROM people
+        UNION ALL
+        SELECT k * 2 + 1, CASE WHEN k % 9 = 0 THEN concat(given_name, ' Bartholomew Constantine ', family_name) ELSE upper(name) END,
+               CASE WHEN k % 11 = 0 THEN '-' ELSE concat('+91 ', phone) END, CASE WHEN k % 8 = 0 THEN email END,
+               CASE WHEN k % 12 = 0 THEN lower(gstin) END FROM people WHERE k % 3 = 0""",
+    "overrides": """
+        SELECT concat(name, '_', CASE WHEN k % 2 = 0 THEN 'Revenue' ELSE 'Internal_Notes' END) AS override_key,
+               concat('picked ', cast(min(k) AS string)) AS value
+        FROM people WHERE k % 7 = 0 GROUP BY concat(name, '_', CASE WHEN k % 2 = 0 THEN 'Revenue' ELSE 'Internal_Notes' END)""",
     "catalog": """
         SELECT c_custkey AS _row_idx,
                CASE WHEN c_custkey = 1 THEN 'retail_sales' WHEN c_custkey = 2 THEN 'customer_churn'
@@ -198,6 +209,8 @@ NEEDS = {
     "payments": ("invoices",),
     "persons_text": ("people",),
     "people_secret": ("people",),
+    "contacts": ("people",),
+    "overrides": ("people",),
 }
 
 TABLES = (
