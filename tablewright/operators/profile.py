@@ -32,31 +32,45 @@ def logical_type(numeric: str = "Numeric", date: str = "DateTime/Other") -> F.Co
     )
 
 
-def column_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Type, distinct values, empty cells and number statistics of every column, per ``keys`` if given."""
+def column_details(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Everything known about every column, per ``keys`` if given; one row per column."""
     columns = [c for c in data_columns(df) if c not in keys]
     cells = text_cells(df, columns, keys)
     by = [*keys, "ord"]
     distinct = value_counts(cells, keys).groupBy(*by).agg(F.count("*").alias("cardinality"))
     dates = early_date_columns(df, columns, keys)
     merged = column_facts(cells, keys).join(F.broadcast(distinct), by, "left").join(F.broadcast(dates), by, "left")
-    stat = F.col("type") == "Numeric"
     return (
         merged.withColumn("early_dates", F.coalesce("early_dates", F.lit(False)))
+        .withColumn("cardinality", F.coalesce("cardinality", F.lit(0)).cast("bigint"))
         .withColumn("type", logical_type())
-        .select(
-            *keys,
-            F.col("ord").alias("ordinal"),
-            "column",
-            "type",
-            F.coalesce("cardinality", F.lit(0)).cast("bigint").alias("cardinality"),
-            "missing",
-            percent(F.col("missing"), F.col("n"), 0).alias("missing_pct"),
-            *[F.when(stat, round_even(F.col(s), 2)).alias(s) for s in ("mean", "min", "max", "std")],
-        )
     )
 
 
+def column_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Type, distinct values, empty cells and number statistics of every column, per ``keys`` if given."""
+    stat = F.col("type") == "Numeric"
+    return column_details(df, keys).select(
+        *keys,
+        F.col("ord").alias("ordinal"),
+        "column",
+        "type",
+        "cardinality",
+        "missing",
+        percent(F.col("missing"), F.col("n"), 0).alias("missing_pct"),
+        *[F.when(stat, round_even(F.col(s), 2)).alias(s) for s in ("mean", "min", "max", "std")],
+    )
+
+
+def scoped_profile(df: DataFrame, role: str, selected: Sequence[str] | None = None) -> DataFrame:
+    """Profile of what the role may see, with the scope status of each column; empty for a VIEWER."""
+    from tablewright.operators.privacy import mask_for_role
+
+    kept = list(selected) if selected is not None else data_columns(df)
+    status = F.when(F.col("column").isin(kept), "Included").otherwise("Excluded from analysis")
+    return column_profile(mask_for_role(df, role)).withColumn("scope_status", status)
+
+
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, columns, cells and the number of columns of each type, as one row."""
     columns = data_columns(df)
