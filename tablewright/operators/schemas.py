@@ -275,13 +275,17 @@ DETECTED = "Detected via filename keywords and schema column signature matches."
 FALLBACK = "Fallback default spreadsheet"
 
 
+def _any_contains(texts: Column, part: str) -> Column:
+    return F.exists(texts, lambda t: t.contains(part))
+
+
 def detect_sources(files: DataFrame) -> DataFrame:
     """Kind of source per row of ``(filename, columns array)``, with a confidence of 50 to 99, 40 if unknown."""
     headers = F.transform("columns", lambda c: F.lower(c))
     candidates = []
     for place, (kind, words) in enumerate(FILE_SIGNALS.items()):
         named = any_keyword(F.col("filename"), words)
-        hits = [F.exists(headers, lambda c, k=k: c.contains(k)).cast("int") for k in HEADER_SIGNALS[kind]]
+        hits = [_any_contains(headers, k).cast("int") for k in HEADER_SIGNALS[kind]]
         count = sum(hits[1:], hits[0])
         score = (
             F.when(named, 50.0).otherwise(0.0)

@@ -146,10 +146,10 @@ SQL = {
         FROM (SELECT c_custkey AS s_key FROM {customer}) c""",
     "rules": """
         SELECT * FROM (VALUES
-          ('rule_1', 'Critical Quality Score Drop', 'Data Quality', 'Overall Quality Score', '<', 52.0, 'CRITICAL', 'Email|WhatsApp|Slack', 60.0, true),
-          ('rule_2', 'Anomaly Count Spike', 'Data Quality', 'Anomaly Count', '>', 5.0, 'HIGH', 'Slack|Teams', 30.0, true),
-          ('rule_4', 'Revenue Anomaly Discrepancy', 'Business Risk', 'Revenue Deviation (%)', '>', 15.0, 'WARNING', 'Email|Slack', 120.0, true),
-          ('rule_5', 'Unused', 'Data Quality', 'Anomaly Count', '>', 0.0, 'HIGH', 'Slack', 30.0, false)
+          ('rule_1', 'Critical Quality Score Drop', 'Data Quality', 'Overall Quality Score', '<', 52.0, 'CRITICAL', 'Email|WhatsApp|Slack', 60, true),
+          ('rule_2', 'Anomaly Count Spike', 'Data Quality', 'Anomaly Count', '>', 5.0, 'HIGH', 'Slack|Teams', 30, true),
+          ('rule_4', 'Revenue Anomaly Discrepancy', 'Business Risk', 'Revenue Deviation (%)', '>', 15.0, 'WARNING', 'Email|Slack', 120, true),
+          ('rule_5', 'Unused', 'Data Quality', 'Anomaly Count', '>', 0.0, 'HIGH', 'Slack', 30, false)
         ) AS r(rule_id, rule_name, category, metric, operator, threshold, severity, channels, cooldown_minutes, active)""",
     "audit_lines": """
         SELECT event_id AS _row_idx,
