@@ -39,7 +39,7 @@ def _rank(c: str) -> F.Column:
 
 
 def _settle(batches):
-    frame = pd.concat(list(batches), ignore_index=True)
+    frame = pd.concat([pd.DataFrame(columns=["a", "b", "oa", "ob"]), *batches], ignore_index=True)
     order = {n: o for n, o in zip(frame["b"], frame["ob"])} | {n: o for n, o in zip(frame["a"], frame["oa"])}
     near: dict[str, list[str]] = {}
     for a, b in zip(frame["a"], frame["b"]):
@@ -77,7 +77,8 @@ def leaders_of_names(forms: DataFrame, threshold: int = SIMILAR_AT, batch: int =
     open_forms = cut_lineage(forms.select("norm"))
     total = open_forms.count()
     share, settled = min(1.0, batch / max(total, 1)), None
-    place = F.pmod(F.xxhash64("norm"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # Grows with the rank, so that a batch comes before all later ones.
+    place = F.xxhash64("norm") / F.lit(float(1 << 64)) + 0.5
     while True:
         first, later = open_forms.where(place < share), open_forms.where(place >= share)
         inner = cut_lineage(_matches(first, first, threshold).where(_rank("a") < _rank("b")))

@@ -6,8 +6,8 @@ taken. Three facts turn this sequence into joins:
 
 * Of all invoices a payment refers to, only the first matters: it leaves none behind for the later ones.
 * A payment with a reference is free for similar names before its own invoice only.
-* Among the invoices without reference match, one whose best payment is wanted by no earlier invoice is
-  settled, and all such invoices can be settled at once.
+* Invoices whose names and payments are not connected cannot take payments from each other, so such parts are
+  worked off side by side; within a large part all invoices that depend on no earlier one are settled at once.
 """
 
 from __future__ import annotations
@@ -148,66 +148,110 @@ def similar_pairs(inv: DataFrame, pay: DataFrame) -> DataFrame:
     return asked.join(offered, ["right", "_level", "_bucket"]).where(close & free).select("i", "p").distinct()
 
 
-# Up to this many pairs one task works through them in order; more are settled in rounds first.
-ONE_TASK_PAIRS = 200_000
+# Up to this many rows one task works through a connected part in order; larger parts are settled in rounds.
+ONE_TASK_ROWS = 200_000
 
 
-def _serve(batches):
-    frame = pd.concat(list(batches), ignore_index=True).sort_values(["i", "p"])
-    used, served, out = set(), set(), []
-    for i, p in zip(frame["i"], frame["p"]):
-        if i not in served and p not in used:
-            served.add(i)
-            used.add(p)
-            out.append((i, p))
-    yield pd.DataFrame(out, columns=["i", "p"], dtype="int64")
+def _union_find(batches):
+    frame = pd.concat([pd.DataFrame({"a": [], "b": []}), *batches], ignore_index=True)
+    root: dict[str, str] = {}
 
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def serve_in_order(pairs: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
-    """Each invoice, in order, takes its first free payment: ``(i, p)``.
+    for a, b in zip(frame["a"], frame["b"]):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    names = list(root)
+    yield pd.DataFrame({"name": names, "part": [find(x) for x in names]}, dtype=object)
 
-    A round settles every invoice whose first payment has no earlier taker; what is left goes to the next,
-    until few enough pairs remain for one task.
-    """
-    taken: DataFrame | None = None
-    left = cut_lineage(pairs)
+
+def connected(edges: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """``(name, part)``: the smallest name each name of the edges ``(a, b)`` is connected with."""
+    edges = cut_lineage(edges.distinct())
+    if edges.limit(one_task + 1).count() <= one_task:
+        return cut_lineage(edges.coalesce(1).mapInPandas(_union_find, "name string, part string"))
+    both = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.groupBy("a").agg(F.min("b").alias("_low")).select(F.col("a").alias("name"), F.least("a", "_low").alias("part"))
     while True:
-        open_pairs = left.limit(one_task + 1).count()
-        if 0 < open_pairs <= one_task:
-            rest = cut_lineage(left.coalesce(1).mapInPandas(_serve, "i bigint, p bigint"))
-            return rest if taken is None else taken.unionByName(rest)
-        if open_pairs == 0:
-            return left if taken is None else taken
-        wish = left.groupBy("i").agg(F.min("p").alias("p"))
-        owner = left.groupBy("p").agg(F.min("i").alias("i"))
-        settled = cut_lineage(wish.join(owner, ["i", "p"]))
-        taken = settled if taken is None else taken.unionByName(settled)
-        left = cut_lineage(
-            left.join(settled.select("i"), "i", "left_anti").join(settled.select("p"), "p", "left_anti")
+        labels = cut_lineage(labels)
+        near = both.join(labels, both["b"] == labels["name"]).groupBy("a").agg(F.min("part").alias("near"))
+        far = labels.select(F.col("name").alias("part"), F.col("part").alias("far"))
+        step = labels.join(near, labels["name"] == near["a"]).join(far, "part", "left")
+        lower = step.select("name", F.least("part", "near", "far").alias("part"), (F.least("near", "far") < F.col("part")).alias("_moved"))
+        lower = cut_lineage(lower)
+        if lower.where("_moved").isEmpty():
+            return lower.drop("_moved")
+        labels = lower.drop("_moved")
+
+
+def _serve(frame: pd.DataFrame) -> pd.DataFrame:
+    """Invoices of one part in order: their own free payments, or else the first similar one."""
+    frame = frame.sort_values(["i", "p"])
+    used, out = set(), []
+    for i, rows in frame.groupby("i", sort=False):
+        own = [p for p, mine in zip(rows["p"], rows["own"]) if mine and p not in used]
+        found = own or [p for p, mine in zip(rows["p"], rows["own"]) if not mine and p not in used][:1]
+        used.update(found)
+        out.extend((i, p) for p in found)
+    return pd.DataFrame(out, columns=["i", "p"], dtype="int64")
+
+
+def _serve_in_rounds(claims: DataFrame) -> DataFrame:
+    """The same for parts of any size, all invoices that depend on no earlier one at a time."""
+    left, taken = cut_lineage(claims.select("i", "p", "own")), None
+    while not left.isEmpty():
+        first = left.groupBy("p").agg(F.min("i").alias("_first"))
+        asked = left.join(first, "p").withColumn("_mine", F.col("_first") == F.col("i"))
+        state = asked.groupBy("i").agg(
+            F.bool_or("own").alias("_owns"),
+            F.bool_and(~F.col("own") | F.col("_mine")).alias("_sure"),
+            F.min_by(F.struct("p", "_mine"), F.when(~F.col("own"), F.col("p"))).alias("_best"),
         )
+        ready = state.where(F.when(F.col("_owns"), F.col("_sure")).otherwise(F.col("_best._mine")))
+        now = left.join(ready, "i").where(F.when(F.col("_owns"), F.col("own")).otherwise(F.col("p") == F.col("_best.p")))
+        now = cut_lineage(now.select("i", "p"))
+        taken = now if taken is None else taken.unionByName(now)
+        left = cut_lineage(left.join(now.select("i").distinct(), "i", "left_anti").join(now.select("p"), "p", "left_anti"))
+    return taken if taken is not None else left.select("i", "p")
+
+
+def serve_in_order(claims: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """``(i, p)`` used, from claims ``(part, i, p, own)``; parts share no payment."""
+    sizes = claims.groupBy("part").agg(F.count("*").alias("_n"))
+    large = cut_lineage(sizes.where(F.col("_n") > one_task).select("part"))
+    small = claims.join(large, "part", "left_anti").groupBy("part").applyInPandas(_serve, "i bigint, p bigint")
+    if large.isEmpty():
+        return cut_lineage(small)
+    return cut_lineage(small).unionByName(_serve_in_rounds(claims.join(large, "part", "left_semi")))
 
 
-def match_payments(inv: DataFrame, pay: DataFrame, one_task: int = ONE_TASK_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """``(i, p)`` taken by reference, and ``(i, p)`` taken by similarity."""
+def match_payments(inv: DataFrame, pay: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
+    """``(i, p)``: the payments each invoice uses.
+
+    Names that are alike, and the name on a contested payment with that of its own invoice, form parts that
+    cannot influence each other.
+    """
     referred = first_referred(inv, pay).withColumnRenamed("i", "reserved")
     pay = cut_lineage(pay.join(referred, "p_key", "left"))
     inv = cut_lineage(inv)
-    owned = pay.where(F.col("reserved").isNotNull()).select(F.col("reserved").alias("i"), "p")
-    unowned = inv.join(owned.select("i"), "i", "left_anti").select("i")
-    searching = unowned
-    pairs = cut_lineage(similar_pairs(inv.join(searching, "i", "left_semi"), pay))
-    while True:
-        similar = serve_in_order(pairs, one_task)
-        # An invoice that lost all its payments to earlier ones searches as well.
-        lost = owned.join(similar.select("p", F.lit(True).alias("lost")), "p", "left")
-        bereft = lost.groupBy("i").agg(F.bool_and(F.coalesce("lost", F.lit(False))).alias("all")).where("all").select("i")
-        wanted = cut_lineage(unowned.unionByName(bereft))
-        new, gone = wanted.join(searching, "i", "left_anti"), searching.join(wanted, "i", "left_anti")
-        if new.unionByName(gone).isEmpty():
-            return owned.join(similar, "p", "left_anti"), similar
-        more = similar_pairs(inv.join(new, "i", "left_semi"), pay)
-        pairs = cut_lineage(pairs.join(wanted, "i", "left_semi").unionByName(more))
-        searching = wanted
+    owned = pay.where(F.col("reserved").isNotNull()).select(F.col("reserved").alias("i"), "p", "p_name")
+    pairs = cut_lineage(similar_pairs(inv, pay).join(inv.select("i", "i_name"), "i").join(pay.select("p", "p_name"), "p"))
+    contested = owned.join(pairs.select("p").distinct(), "p", "left_semi")
+    involved = pairs.select("i").unionByName(contested.select("i")).distinct()
+    named = owned.join(involved, "i", "left_semi").join(inv.select("i", "i_name"), "i")
+    alike = pairs.select(F.col("i_name").alias("a"), F.col("p_name").alias("b"))
+    tied = contested.join(inv.select("i", "i_name"), "i").select(F.col("i_name").alias("a"), F.col("p_name").alias("b"))
+    parts = connected(alike.unionByName(tied), one_task)
+    claims = pairs.select("i_name", "i", "p", F.lit(False).alias("own")).unionByName(
+        named.select("i_name", "i", "p", F.lit(True).alias("own"))
+    )
+    claims = cut_lineage(claims.join(parts.withColumnRenamed("name", "i_name"), "i_name").drop("i_name"))
+    alone = owned.join(involved, "i", "left_anti").select("i", "p")
+    return alone.unionByName(serve_in_order(claims, one_task))
 
 
 def _money(c: Column) -> Column:
@@ -217,8 +261,7 @@ def _money(c: Column) -> Column:
 def payment_ledger(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """Status of every invoice, and a row per payment without invoice."""
     inv, pay = invoices_view(invoices), payments_view(payments)
-    by_ref, by_name = match_payments(inv, pay)
-    used = by_ref.unionByName(by_name)
+    used = match_payments(inv, pay)
     paid = used.join(pay.select("p", "p_cust", "p_amt"), "p").groupBy("i").agg(
         F.count("*").alias("n"), F.sum("p_amt").alias("paid"), F.min_by("p_cust", "p").alias("p_cust")
     )
