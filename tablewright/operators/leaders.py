@@ -106,7 +106,7 @@ def ordered_leaders(nodes: DataFrame, match: Match, batch: int = BATCH, chunk: i
         splits = F.ceil(F.col("_size") / F.lit(chunk)).cast("int")
         salted = waiting.withColumn("_salt", F.pmod(F.xxhash64("node"), splits).cast("int")).drop("_size")
         copies = leaders.join(large, "block").withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_size")
-        copies = cut_lineage(copies)  # both sides stem from the same rows, the cogroup needs them told apart
+        copies = copies.toDF(*copies.columns)  # both sides stem from the same rows, the cogroup needs them told apart
         compared = cut_lineage(
             salted.groupBy("block", "_salt").cogroup(copies.groupBy("block", "_salt")).applyInPandas(_settle_rest(match), schema)
         )

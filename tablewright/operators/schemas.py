@@ -166,7 +166,8 @@ def column_scores(source_id: str, df: DataFrame) -> DataFrame:
     columns = data_columns(df)
     pairs = [(i, c, k, t, name_score(t, c), TARGET_TYPES[t]) for i, c in enumerate(columns) for k, t in enumerate(TARGETS)]
     named = spark.createDataFrame(pairs, "ord int, column string, target_ord int, target_field string, name_sim double, target_type string")
-    found = F.when(F.col("type") == "DateTime/Other", "DateTime").otherwise(F.col("type"))
+    # A table without rows has no facts; its columns count as categorical.
+    found = F.when(F.col("type") == "DateTime/Other", "DateTime").otherwise(F.coalesce("type", F.lit("Categorical")))
     both = F.array_sort(F.array(found, F.col("target_type")))
     compat = (
         F.when(found == F.col("target_type"), 100.0)
@@ -178,9 +179,9 @@ def column_scores(source_id: str, df: DataFrame) -> DataFrame:
     for t in ("Phone", "Email", "GSTIN", "Customer_Name"):
         pattern = pattern.when(F.col("target_field") == t, F.col(f"p_{t}"))
     pattern = F.coalesce(pattern, F.lit(50.0))
-    scored = named.join(F.broadcast(facts), "ord").withColumn("compat", compat).withColumn("pattern", pattern)
+    scored = named.join(F.broadcast(facts), "ord", "left").withColumn("compat", compat).withColumn("pattern", pattern)
     mixed = F.col("name_sim") * 0.4 + F.col("compat") * 0.3 + F.col("pattern") * 0.3
-    total = F.when(F.col("present") == 0, F.col("name_sim") * 0.6 + F.col("compat") * 0.4).otherwise(mixed)
+    total = F.when(F.coalesce("present", F.lit(0)) == 0, F.col("name_sim") * 0.6 + F.col("compat") * 0.4).otherwise(mixed)
     return scored.select(
         F.lit(source_id).alias("source_id"), "ord", "column", "target_ord", "target_field",
         F.bround(total).cast("int").alias("confidence"),
