@@ -77,7 +77,7 @@ def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     short = small.where(F.length("small") >= CONTAINED_FROM)
     lengths = [row[0] for row in short.select(F.length("small")).distinct().collect()]  # as many as text lengths
     if not lengths:
-        return short.join(large.limit(0), F.lit(False))
+        return large.limit(0).select("large", F.lit("").alias("small"))
     size = F.length("large")
 
     def parts(n: int) -> Column:

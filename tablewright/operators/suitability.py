@@ -238,6 +238,10 @@ def report(scores: DataFrame, user: str, as_of: Column | None = None) -> DataFra
 
 def risk_index(scores: DataFrame) -> DataFrame:
     """Risk of missing data, anomalies and inconsistency: 100 minus the score."""
-    risks = (("Missing data", "completeness"), ("Anomalies", "anomalies"), ("Inconsistency", "consistency"))
+    risks = (
+        ("Revenue Reporting Risk", "completeness"),
+        ("Forecasting Variance Risk", "anomalies"),
+        ("BI Aggregations Accuracy Risk", "consistency"),
+    )
     rows = F.array(*[F.struct(F.lit(label).alias("risk"), (F.lit(100) - F.col(dim)).alias("risk_score")) for label, dim in risks])
     return scores.select("dataset", F.explode(rows).alias("r")).select("dataset", "r.*")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import inventory, monitor, names, profile, reconcile, schemas
+from tablewright.operators import explain, inventory, monitor, names, profile, reconcile, schemas
 from tablewright.operators.columns import ROW
 from tablewright.plans import sqltext as q
 from tablewright.plans.entity_plans import SOURCES
 from tablewright.plans.fixtures import check_sql, derived, given_table
-from tablewright.plans.quality_plans import MESSY, messy, messy_sql
+from tablewright.operators import quality
+from tablewright.plans.quality_plans import ALL, ISSUE_SQL, MESSY, messy, messy_sql
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -99,6 +100,12 @@ def changes(spark, folder):
     return seen.unionByName(done)
 
 
+def source_profile(spark, folder):
+    table = given_table(spark, folder, "documents").withColumn(ROW, F.col("doc_id"))
+    found = profile.column_profile(table.select(ROW, "source", "text", "lang", "n_chars"), ["source"])
+    return found.select("source", "column", "type", "cardinality", "missing", "missing_pct", "mean", "max")
+
+
 def rule_versions(spark, folder):
     log = derived(spark, folder, "catalog").select(
         F.concat(F.lit("rule_"), F.pmod(F.col(ROW), F.lit(97)).cast("string")).alias("rule_id"), F.col(ROW).alias("version"),
@@ -115,6 +122,10 @@ QUERIES = {
     "payment_ledger": lambda s, d: reconcile.payment_ledger(*billed(s, d)),
     "payment_stats": lambda s, d: reconcile.ledger_stats(reconcile.payment_ledger(*billed(s, d))),
     "name_clusters": lambda s, d: names.name_clusters(derived(s, d, "persons_text")),
+    "explain_issues": lambda s, d: explain.explain(derived(s, d, "findings"), derived(s, d, "dictionary"), ["dataset"]),
+    "business_impact": lambda s, d: explain.business_impact(quality.issues(messy(s, d))),
+    "top_issues": lambda s, d: explain.top_issues(quality.issues(messy(s, d))).select("seq", "id", "title"),
+    "source_profile": source_profile,
     "schema_match": schema_match,
     "schema_drift": schema_drift,
     "source_detect": source_detect,
@@ -280,7 +291,32 @@ def drift_sql() -> str:
     FROM (SELECT s.*, k.a, k.z, list_filter(s.b, lambda x: list_contains(s.c, x)) AS u FROM sch s JOIN k6 k ON s.baseline = k.baseline AND s.current = k.current) q"""
 
 
+IMPACT_SQL = " ".join(
+    "WHEN " + " OR ".join(f"contains(id, '{p}')" for p in parts) + f" THEN '{{}}'" for parts, _, _ in explain.IMPACTS
+)
+DOC_CELLS = " UNION ALL ".join(
+    f"SELECT source, '{c}' AS \"column\", cast({c} AS VARCHAR) AS v FROM documents" for c in ("text", "lang", "n_chars")
+)
 CHECKS = {
+    "explain_issues": check_sql(
+        ["findings", "dictionary"],
+        """, f AS (SELECT *, CASE WHEN finding_key = 'no_such_finding' THEN 'missing_contacts' ELSE finding_key END AS k FROM findings),
+        j AS (SELECT f.*, coalesce(a.finding, b.finding) AS t1, coalesce(a.business_meaning, b.business_meaning) AS t2,
+          coalesce(a.technical_explanation, b.technical_explanation) AS t3, coalesce(a.recommended_fix, b.recommended_fix) AS t4
+          FROM f LEFT JOIN dictionary a ON a.finding_key = k AND a.language = f.language JOIN dictionary b ON b.finding_key = k AND b.language = 'English')
+        SELECT _row_idx, finding_key, language, dataset, replace(t1, '{dataset}', dataset) AS finding, replace(t2, '{dataset}', dataset) AS business_meaning,
+        replace(t3, '{dataset}', dataset) AS technical_explanation, t4 AS recommended_fix FROM j""",
+    ),
+    "business_impact": messy_sql(
+        ALL,
+        f"""SELECT id, "column", severity, CASE {IMPACT_SQL.format(*[m for _, m, _ in explain.IMPACTS])} ELSE '{explain.OTHER_IMPACT[0]}' END AS business_impact,
+        CASE {IMPACT_SQL.format(*[a for _, _, a in explain.IMPACTS])} ELSE '{explain.OTHER_IMPACT[1]}' END AS next_step FROM ({ISSUE_SQL}) i""",
+    ),
+    "top_issues": messy_sql(ALL, f"SELECT seq, id, title FROM ({ISSUE_SQL}) i ORDER BY seq LIMIT 3"),
+    "source_profile": f"""WITH c AS ({DOC_CELLS}), t AS (SELECT *, {q.money('v')} AS x FROM c), g AS (SELECT source, "column", count(DISTINCT v) AS cardinality,
+      count(*) FILTER ({q.empty('v')}) AS missing, count(*) AS n, bool_and(x IS NOT NULL) AS num, avg(x) AS mean, max(x) AS max FROM t GROUP BY 1, 2)
+      SELECT source, "column", CASE WHEN num THEN 'Numeric' ELSE 'Categorical' END AS type, cardinality, missing, {q.pct('missing', 'n')} AS missing_pct,
+      CASE WHEN num THEN round_even(mean, 2) END AS mean, CASE WHEN num THEN round_even(max, 2) END AS max FROM g""",
     "schema_drift": check_sql(["schemas"], drift_sql()),
     "reconcile_inventory": check_sql(["pos_sales", "stock"], f", {INVENTORY} SELECT * FROM ano"),
     "inventory_stats": check_sql(

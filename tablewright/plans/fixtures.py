@@ -173,6 +173,15 @@ SQL = {
         SELECT concat(name, '_', CASE WHEN k % 2 = 0 THEN 'Revenue' ELSE 'Internal_Notes' END) AS override_key,
                concat('picked ', cast(min(k) AS string)) AS value
         FROM people WHERE k % 7 = 0 GROUP BY concat(name, '_', CASE WHEN k % 2 = 0 THEN 'Revenue' ELSE 'Internal_Notes' END)""",
+    "findings": """
+        SELECT event_id AS _row_idx, CASE event_id % 3 WHEN 0 THEN 'missing_contacts' WHEN 1 THEN 'negative_stock' ELSE 'no_such_finding' END AS finding_key,
+               CASE user_id % 3 WHEN 0 THEN 'English' WHEN 1 THEN 'German' ELSE 'Klingon' END AS language, event_type AS dataset FROM {events}""",
+    "dictionary": """
+        SELECT * FROM (VALUES
+          ('missing_contacts', 'English', 'Contacts are missing in {{dataset}}', 'Customers cannot be reached', 'Empty cells', 'Fill {{unknown}} cells'),
+          ('missing_contacts', 'German', 'Kontakte fehlen in {{dataset}}', 'Kunden nicht erreichbar', 'Leere Zellen', 'Zellen füllen'),
+          ('negative_stock', 'English', 'Stock below zero', 'Sales without goods', 'Values under 0 in {{dataset}}', 'Count again')
+        ) AS d(finding_key, language, finding, business_meaning, technical_explanation, recommended_fix)""",
     "catalog": """
         SELECT c_custkey AS _row_idx,
                CASE WHEN c_custkey = 1 THEN 'retail_sales' WHEN c_custkey = 2 THEN 'customer_churn'

@@ -228,8 +228,8 @@ CHECKS = {
     ),
     "risk_index": messy_sql(
         MESSY.scores,
-        """SELECT dataset, 'Missing data' AS risk, 100 - completeness AS risk_score FROM scores
-        UNION ALL SELECT dataset, 'Anomalies', 100 - anomalies FROM scores UNION ALL SELECT dataset, 'Inconsistency', 100 - consistency FROM scores""",
+        """SELECT dataset, 'Revenue Reporting Risk' AS risk, 100 - completeness AS risk_score FROM scores
+        UNION ALL SELECT dataset, 'Forecasting Variance Risk', 100 - anomalies FROM scores UNION ALL SELECT dataset, 'BI Aggregations Accuracy Risk', 100 - consistency FROM scores""",
     ),
     "fix_dedupe": messy_sql(DEDUPED, "SELECT * FROM ded"),
     "fix_title": messy_sql(titled("messy_orders", "tit"), "SELECT * FROM tit"),
