@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +41,33 @@ def _group_table() -> np.ndarray:
 GROUP_OF = _group_table()
 
 
+def _repeated(texts: pa.Array) -> np.ndarray:
+    """Share of each text's words that equal the word before."""
+    split = pc.ascii_split_whitespace(texts)
+    owner, parts = pc.list_parent_indices(split).to_numpy(), split.flatten()
+    filled = pc.not_equal(parts, "")
+    owner, ids = owner[filled.to_numpy(zero_copy_only=False)], parts.filter(filled).dictionary_encode().indices.to_numpy()
+    again = (ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])
+    return np.bincount(owner[1:][again], minlength=len(texts)) / np.maximum(1, np.bincount(owner, minlength=len(texts)))
+
+
 def features(texts: pa.Array) -> np.ndarray:
-    """One row per text: shares of the byte groups, mean bytes per word, logarithm of the length."""
+    """One row per text: shares of the byte groups, of repeated words, mean bytes per word, logarithm of the length."""
+    texts = texts.cast(pa.large_string()).fill_null("")
     flat, offsets = text_bytes(texts)
     n, k = len(texts), len(GROUPS) + 1
-    counts = np.zeros((n, k))
+    counts, repeated = np.zeros((n, k)), np.zeros(n)
     start = 0
     while start < n:  # bounded numbers of bytes at once
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PIECE_BYTES, side="right")) - 1)
         part = flat[offsets[start] : offsets[stop]]
         owner = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
         counts[start:stop] = np.bincount(owner * k + GROUP_OF[part], minlength=(stop - start) * k).reshape(-1, k)
+        repeated[start:stop] = _repeated(texts.slice(start, stop - start))
         start = stop
     size = np.maximum(1, np.diff(offsets))
     gaps = counts[:, 3] + counts[:, 4] + 1
-    return np.c_[counts / size[:, None], size / gaps, np.log(size)]
+    return np.c_[counts / size[:, None], repeated, size / gaps, np.log(size)]
 
 
 @dataclass(frozen=True)
