@@ -68,14 +68,15 @@ def _looked_up(windows: DataFrame, items: DataFrame) -> DataFrame:
 def _starts(diagonals: Column, m: Column) -> Column:
     """All places between neighbouring diagonals that one window may span."""
     gap = (m / 4).cast("int") + 1
-    stop = lambda i: F.least(F.coalesce(F.get(diagonals, i + 1) - 1, F.get(diagonals, i)), F.get(diagonals, i) + gap)
-    runs = F.transform(F.sequence(F.lit(0), F.size(diagonals) - 1), lambda i: F.sequence(F.get(diagonals, i), F.greatest(F.get(diagonals, i), stop(i))))
+    follows = lambda i: F.get(diagonals, i + 1)
+    stop = lambda i: F.when(follows(i) - F.get(diagonals, i) <= gap + 1, follows(i) - 1).otherwise(F.get(diagonals, i))
+    runs = F.transform(F.sequence(F.lit(0), F.size(diagonals) - 1), lambda i: F.sequence(F.get(diagonals, i), stop(i)))
     return F.flatten(runs)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item, similarity, first_word, n_words): the best window of every document that has an item, and item."""
-    texts = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     given = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     given = given.withColumn("k", F.least(F.size("words"), F.lit(SHINGLE)))
     sized = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in range(1, SHINGLE + 1)))
@@ -87,17 +88,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     at = items.select("item_id", "k", "m", F.posexplode("hashes").alias("offset", "h"))
     spread = None
     for k in sizes:
-        part = texts.select("doc", F.lit(k).alias("k"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
+        part = texts.select("doc", words(F.col("text")).alias("words")).select("doc", F.lit(k).alias("k"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
         spread = part if spread is None else spread.unionByName(part)
     # an item can only be similar if that many of the document's shingles are its own
     met = spread.join(at, ["k", "h"]).groupBy("doc", "item_id", "k", "m").agg(F.count_distinct("pos").alias("n"), F.collect_set(F.col("pos") - F.col("offset")).alias("diagonals"))
-    wanted = keep(
-        met.where(F.col("n") >= similarity * F.col("m") - 1e-9)
-        .select("doc", "k", "m", F.explode(F.array_distinct(_starts(F.array_sort("diagonals"), F.col("m")))).alias("start")).distinct()
-    )
-    some = texts.join(wanted, "doc").withColumn("hashes", F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in sizes)))
-    inside = F.greatest(F.lit(0), F.least(F.col("start"), F.size("hashes") - F.col("m")))
-    windows = some.select("doc", "k", "m", inside.alias("start"), F.slice("hashes", inside + 1, F.col("m")).alias("hashes")).distinct()
+    starts = F.transform(F.array_distinct(_starts(F.array_sort("diagonals"), F.col("m"))), lambda s: F.struct(F.col("m"), s.alias("start")))
+    enough = met.where(F.col("n") >= similarity * F.col("m") - 1e-9)
+    wanted = keep(enough.groupBy("doc", "k").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("wanted")))
+    # the shingles of a document are hashed once, then its windows are cut
+    some = texts.join(wanted, "doc").select("doc", "k", "wanted", words(F.col("text")).alias("words"))
+    some = some.select("doc", "k", F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in sizes)).alias("all"), "wanted")
+    some = some.select("doc", "k", "all", F.explode("wanted").alias("at")).select("doc", "k", "all", "at.m", "at.start")
+    inside = F.greatest(F.lit(0), F.least(F.col("start"), F.size("all") - F.col("m")))
+    windows = some.select("doc", "k", "m", inside.alias("start"), F.slice("all", inside + 1, F.col("m")).alias("hashes")).distinct()
     pairs = keep(_looked_up(windows.withColumn("fp", simhash(F.col("hashes"))), items))
     window = ["doc", "start", "item_id", "k", "m", "fp"]
     own = pairs.select(*window, F.size("hashes").alias("w"), F.explode("hashes").alias("h")).groupBy(*window, "w", "h").agg(F.count("*").alias("n"))
