@@ -29,7 +29,7 @@ from tablewright.llm.batches import pieces
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Runs kept with their ids, words encoded at once, bytes from which a word counts as long, ids decoded at once.
-CACHE_RUNS = 400_000
+CACHE_RUNS = 800_000
 WORDS_AT_ONCE = 20_000
 LONG_WORD = 200
 IDS_AT_ONCE = 1_000_000
