@@ -1,7 +1,7 @@
 """Shards of bounded size by extendible hashing.
 
 A document's key is hashed (60 bits of its MD5). The directory starts with one bucket; a bucket over the byte limit
-splits on the next bit of the hash, the others stay as they are. Sizes are counted for eight bits at a time, over the
+splits on the next bit of the hash, the others stay as they are. Sizes are counted for four bits at a time, over the
 documents of buckets that are still too large: hash and size are written once, texts are not shuffled.
 
 A document over the limit gets a shard of its own. Rows that share a whole hash (equal keys) can't be told apart by
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewright.session import keep
 
 HASH_BITS = 56
-STEP_BITS = 8
+STEP_BITS = 4
 LIMIT_BYTES = 1 << 20
 
 
