@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
