@@ -6,9 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
+#: Limits of the Arrow batches between Spark and Python; Spark's own count rows only, and texts are long.
+BATCH_BYTES, BATCH_ROWS = 1 << 23, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches, so that both sides of the pipe stay within bounds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

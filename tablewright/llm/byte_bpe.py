@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces
+from tablewright.llm.batches import pieces, small_batches
 
 #: Unicode white space, as the pattern's \s has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,7 +32,7 @@ RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 CACHE_RUNS = 400_000
 WORDS_AT_ONCE = 20_000
 LONG_WORD = 200
-IDS_AT_ONCE = 1_000_000
+IDS_AT_ONCE = 300_000
 
 #: All words at once, one merge per word and round; a word without a merge is done.
 SHORT_WORDS = """
@@ -187,6 +187,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = own.encode([text or "" for text in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
+    small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, ids binary")
 
@@ -223,5 +224,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces
+from tablewright.llm.batches import pieces, small_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of a stretch that counts for a span, words that may stand between two of its stretches, share for a label.
@@ -213,6 +213,7 @@ def scan(
                 names=[id_col, "n_words", "places", "spans"],
             )
 
+    small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {SCHEMA}")
 

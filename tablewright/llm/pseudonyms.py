@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.batches import small_batches
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -166,4 +168,5 @@ def hidden(text: Column, key: bytes) -> Column:
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced; same columns, same rows."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(text_col, hidden(F.col(text_col), key)["text"])

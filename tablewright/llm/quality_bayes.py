@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import PIECE_BYTES, text_bytes
+from tablewright.llm.batches import PIECE_BYTES, small_batches, text_bytes
 from tablewright.session import keep
 
 SAMPLE_ROWS = 4000
@@ -98,6 +98,7 @@ def _evidence(model: Model | None, text: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model | None:
     """The regression on a sample of labelled documents; None if the sample lacks good or bad ones."""
+    small_batches(docs.sparkSession)
     rated = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     sample = rated.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     own = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), id_col)  # ``rows`` rows
@@ -148,7 +149,7 @@ def _strength(sites: DataFrame, above: Column) -> float:
 def site_posteriors(evidence: DataFrame) -> DataFrame | None:
     """(host, path, shift): what to add to a document's log-odds. ``evidence`` has host, path, z; None if it is empty."""
     p = 1 / (1 + F.exp(-F.col("z")))
-    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
+    paths = keep(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not total.n:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import byte_bpe, chat_format, decontaminate, license_scan, pseudonyms, quality_bayes, repetition, sharding, simhash_dedup, url_filter
+from tablewright.llm.batches import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Stands in for the secret that a deployment passes to ``pseudonymise``.
@@ -67,6 +68,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", pseudonyms.hidden(F.col("text"), KEY).alias("h"))
     return docs.select("doc_id", "h.text", "h.n_replaced")
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces, text_bytes
+from tablewright.llm.batches import pieces, small_batches, text_bytes
 
 REPEAT_WORDS = 5
 SYMBOLS = "#*$%&|<>"
@@ -148,6 +148,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[k]) for k in COUNTS)], names=[id_col, *COUNTS])
 
+    small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
     return picked.mapInArrow(run, ", ".join([f"{id_col} {picked.schema[0].dataType.simpleString()}", *(f"{k} long" for k in COUNTS)]))
 

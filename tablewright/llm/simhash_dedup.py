@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces
+from tablewright.llm.batches import pieces, small_batches
 from tablewright.llm.components import components
 from tablewright.session import keep
 
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=[id_col, "fp"])
 
+    small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, fp long")
 
