@@ -29,8 +29,8 @@ from tablewright.llm.batches import pieces, small_batches
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Runs kept with their ids, words encoded at once, bytes from which a word counts as long, ids decoded at once.
-CACHE_RUNS = 400_000
-WORDS_AT_ONCE = 20_000
+CACHE_RUNS = 250_000
+WORDS_AT_ONCE = 10_000
 LONG_WORD = 200
 IDS_AT_ONCE = 300_000
 
@@ -91,7 +91,7 @@ class Codec:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.words = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB"})
         made = [
             (a, b, rank)
             for token, rank in self.ranks.items()
