@@ -73,6 +73,18 @@ MAPPINGS = (
 )
 
 
+def _any_has(items: Column, inner: str) -> Column:
+    return F.coalesce(F.exists(items, lambda x: x[inner].isNotNull()), F.lit(False))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _item_turns(m: Mapping) -> Column:
+    return F.transform(F.col(f"`{m.items}`"), lambda x: _turn(x[m.role].cast("string"), x[m.text].cast("string")))
+
+
 def _paths(schema: T.StructType) -> dict[str, Column]:
     """Each nested path of the schema, with whether a record has a value there."""
     out: dict[str, Column] = {}
@@ -80,7 +92,7 @@ def _paths(schema: T.StructType) -> dict[str, Column]:
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
             for inner in field.dataType.elementType.names:
-                out[f"{field.name}[].{inner}"] = F.coalesce(F.exists(value, lambda x, inner=inner: x[inner].isNotNull()), F.lit(False))
+                out[f"{field.name}[].{inner}"] = _any_has(value, inner)
         elif isinstance(field.dataType, T.StructType):
             for inner in field.dataType.names:
                 out[f"{field.name}.{inner}"] = value[inner].isNotNull()
@@ -106,12 +118,11 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     turns = F.array().cast("array<struct<role: string, text: string>>")
     name = F.lit(None).cast("string")
     text = lambda path: F.col(f"`{path}`").cast("string")
-    turn = lambda role, said: F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(said, F.lit("")).alias("text"))
     for m in reversed(mappings):
         if not set(m.needs) <= have or not set(m.needs + m.may) & have:
             continue
         if m.items:
-            made = F.transform(F.col(f"`{m.items}`"), lambda x, m=m: turn(x[m.role].cast("string"), x[m.text].cast("string")))
+            made = _item_turns(m)
         else:
             made = F.array()
             parts = []
@@ -121,7 +132,7 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
                 role = F.lit(field.role) if field.fixed else text(field.role) if field.role in have else F.lit("")
                 always = not field.fixed or bool(set(field.texts) & set(m.needs))
                 there_now = F.lit(True) if always else F.coalesce(*(text(p) for p in there)).isNotNull() if there else F.lit(False)
-                parts.append(F.when(there_now, turn(role, said)))
+                parts.append(F.when(there_now, _turn(role, said)))
             made = F.array_compact(F.array(*parts))
         prints = [_fingerprint(F.array(*(F.lit(p) for p in layout)) if layout else F.array().cast("array<string>")) for layout in m.layouts()]
         fits = F.col("_layout").isin(prints)

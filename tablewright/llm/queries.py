@@ -85,4 +85,50 @@ QUERIES = {
     )
 }
 
-CHECKS: dict[str, str] = {}
+#: The same results in DuckDB's SQL; the other operators are held against brute force in tests/llm.
+CHECKS: dict[str, str] = {
+    "op1_url_filter": r"""
+WITH p AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*[?]([^#]*)', 1), ''), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&') AS asked
+  FROM pages),
+c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/$', '')
+    || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END END AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(canonical, '(spam-farm|cheap-pills|free-bets)[.]')),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(verdict, rhost, rpath)),
+best AS (
+  SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM c JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT c.page_id, host, path, rule, coalesce(best.verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  l.canonical IS NOT NULL AS listed
+FROM c LEFT JOIN best USING (page_id) LEFT JOIN l ON l.canonical = c.canonical
+""",
+    "op3_shards": """
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 14))::BIGINT AS h
+  FROM documents),
+levels AS (SELECT doc_id, bytes, depth::INTEGER AS depth, h >> (56 - depth) AS bucket FROM d, range(0, 57) AS t(depth)),
+sizes AS (SELECT depth, bucket, sum(bytes)::BIGINT AS shard_bytes, count(*) AS n FROM levels GROUP BY ALL)
+SELECT doc_id, bytes, depth, bucket, 0::BIGINT AS page, shard_bytes
+FROM levels JOIN sizes USING (depth, bucket) WHERE shard_bytes <= 1048576 OR n = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+""",
+    "op4_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (
+  SELECT *, '### ' || role || ': ' || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') || ' </turn>' || chr(10) AS formatted FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(formatted))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+""",
+}
