@@ -19,8 +19,8 @@ SOURCE_FLAGS = {
     "_source_pos": ("pos",),
     "_source_excel": ("spreadsheet", "sales", "inventory", "excel"),
 }
-# Entities up to this many records carry their log as one JSON text; the row form holds every entity whole.
-LOG_RECORDS = 1000
+# Row numbers of a source that one part of an entity's log spans.
+LOG_ROWS = 1000
 
 
 def recommend_strategy(mapping: DataFrame) -> DataFrame:
@@ -112,16 +112,17 @@ def apply_merge(
         *[F.coalesce(F.min_by(v, F.when(v.isNotNull(), F.col("_rec"))), F.lit("")).alias(t) for t, v in filled.items()],
         *flags,
         F.min_by("name", "_rec").alias("_entity_match_id"),
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_src_pos"))).alias("_sources"),
+        F.count_distinct("_src_pos").alias("_sources"),
+        F.min("_src_pos").alias("_first_source"),
     )
     if strategy == "Left Join":
-        golden = golden.where(F.col("_sources").bitwiseAND(F.lit(1).cast("bigint")) != 0)
+        golden = golden.where(F.col("_first_source") == 0)
     elif strategy == "Inner Join":
-        golden = golden.where(F.bit_count("_sources") == len(ids))
+        golden = golden.where(F.col("_sources") == len(ids))
     if overrides is not None:
         golden = _override(golden, overrides)
     scored = golden.join(merge_confidence(resolved), "_entity_id", "left")
-    return scored.withColumn("_merge_confidence", F.coalesce("_merge_confidence", F.lit(100))).drop("_sources")
+    return scored.withColumn("_merge_confidence", F.coalesce("_merge_confidence", F.lit(100))).drop("_sources", "_first_source")
 
 
 def _override(golden: DataFrame, overrides: DataFrame | Mapping[str, str]) -> DataFrame:
@@ -133,10 +134,13 @@ def _override(golden: DataFrame, overrides: DataFrame | Mapping[str, str]) -> Da
     # One map of field to value per entity name; the join stays an equi-join on the name.
     slots = F.array(*[F.lit(t) for t in TARGETS])
     split = overrides.select(
-        F.explode(F.filter(slots, lambda t: F.col("override_key").endswith(F.concat(F.lit("_"), t)))).alias("_field"), "override_key", "value"
+        F.explode(F.filter(slots, lambda t: F.col("override_key").endswith(F.concat(F.lit("_"), t)))).alias("_field"), "override_key", "value",
+        F.monotonically_increasing_id().alias("_at"),
     )
     name = F.expr("substring(override_key, 1, length(override_key) - length(_field) - 1)")
-    chosen = split.groupBy(name.alias("_entity_match_id")).agg(
+    # a key given twice: the last value counts
+    split = split.groupBy(name.alias("_entity_match_id"), "_field").agg(F.max_by("value", "_at").alias("value"))
+    chosen = split.groupBy("_entity_match_id").agg(
         F.map_from_entries(F.collect_list(F.struct("_field", "value"))).alias("_picked")
     )
     joined = golden.join(chosen, "_entity_match_id", "left")
@@ -149,15 +153,13 @@ def provenance(resolved: DataFrame) -> DataFrame:
     return resolved.select("_entity_id", "_rec", F.col("_source_id").alias("source"), F.col(ROW).alias("row_idx"), F.col("name").alias("original_name"))
 
 
-def with_log(golden: DataFrame, resolved: DataFrame, limit: int = LOG_RECORDS) -> DataFrame:
-    """Add ``_provenance_log``, the records of an entity as JSON in record order.
+def log_parts(resolved: DataFrame, rows: int = LOG_ROWS) -> DataFrame:
+    """(_entity_id, source, part, _provenance_log): every record of every entity, as JSON in row order.
 
-    An entity of more than ``limit`` records has no such text; all its records are in :func:`provenance`.
+    A part holds the records of an entity and source whose row numbers lie in one range of ``rows``, so it is bounded
+    however many records an entity has.
     """
-    rows = provenance(resolved)
-    small = rows.groupBy("_entity_id").agg(F.count("*").alias("_n")).where(F.col("_n") <= limit).select("_entity_id")
-    entries = F.array_sort(F.collect_list(F.struct("_rec", "source", "row_idx", "original_name")))
-    logs = rows.join(small, "_entity_id", "left_semi").groupBy("_entity_id").agg(
-        F.to_json(F.transform(entries, lambda e: e.dropFields("_rec"))).alias("_provenance_log")
-    )
-    return golden.join(logs, "_entity_id", "left")
+    entries = F.array_sort(F.collect_list(F.struct("row_idx", "source", "original_name")))
+    text = F.to_json(F.transform(entries, lambda e: F.struct(e["source"].alias("source"), e["row_idx"].alias("row_idx"), e["original_name"].alias("original_name"))))
+    part = F.floor(F.col("row_idx") / rows).cast("bigint")
+    return provenance(resolved).groupBy("_entity_id", "source", part.alias("part")).agg(text.alias("_provenance_log"))

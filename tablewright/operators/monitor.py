@@ -84,8 +84,10 @@ def rule_breaches(metrics: DataFrame, rules: DataFrame, strict: bool = False, ti
     shown, mark = F.format_string("%.1f", F.bround(value, 1)), F.col("threshold").cast("double").cast("string")
     count = value.cast("bigint").cast("string")
     quality, anomalies = F.col("metric") == "Overall Quality Score", F.col("metric") == "Anomaly Count"
+    told = F.struct("metric", "operator").isin(*[F.struct(F.lit(a).alias("metric"), F.lit(b).alias("operator")) for a, b in STRICT])
     text = (
-        F.when(quality, F.concat(F.lit("Data Quality Score dropped to "), shown, F.lit("% (Threshold: < "), mark, F.lit("%).")))
+        F.when(~told, F.concat("metric", F.lit(" is "), shown, F.lit(" (Threshold: "), op, F.lit(" "), mark, F.lit(").")))
+        .when(quality, F.concat(F.lit("Data Quality Score dropped to "), shown, F.lit("% (Threshold: < "), mark, F.lit("%).")))
         .when(anomalies, F.concat(F.lit("Detected "), count, F.lit(" anomalous records exceeding threshold (> "), mark, F.lit(").")))
         .otherwise(F.concat(F.lit("Revenue discrepancy variance of "), shown, F.lit("% flagged between POS & Tally.")))
     )

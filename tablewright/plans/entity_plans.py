@@ -63,9 +63,7 @@ def golden(strategy, picked=False):
 
 
 def merge_log(spark, folder):
-    groups = resolved(spark, folder)
-    table = groups.select("_entity_id").distinct()
-    return merge.with_log(table, groups)
+    return merge.log_parts(resolved(spark, folder))
 
 
 def merge_strategy(spark, folder):
@@ -258,7 +256,7 @@ CHECKS = {
     "provenance": entity_sql(GROUPS, "SELECT _entity_id, _rec, _source_id AS source, _row_idx AS row_idx, name AS original_name FROM ent"),
     "provenance_log": entity_sql(
         GROUPS,
-        """SELECT _entity_id, '[' || string_agg('{"source":"' || _source_id || '","row_idx":' || _row_idx || ',"original_name":"' || name || '"}', ',' ORDER BY _rec)
-        || ']' AS _provenance_log FROM ent GROUP BY 1""",
+        """SELECT _entity_id, _source_id AS source, _row_idx // 1000 AS part, '[' || string_agg('{"source":"' || _source_id || '","row_idx":' || _row_idx || ',"original_name":"' || name || '"}', ',' ORDER BY _row_idx)
+        || ']' AS _provenance_log FROM ent GROUP BY 1, 2, 3""",
     ),
 }

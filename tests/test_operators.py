@@ -1,6 +1,7 @@
 """Small literal cases per operator."""
 
 import datetime
+import json
 import os
 
 import pytest
@@ -145,8 +146,12 @@ def test_merge(spark):
     assert merge.apply_merge(groups, frames, "Inner Join").count() == 1 and merge.apply_merge(groups, frames, "Left Join").count() == 2
     stats = merge.preview(groups, MAPPING).first()
     assert (stats.unique_entities, stats.matched_records, stats.conflicts_detected) == (3, 2, 1)
-    log = merge.with_log(groups.select("_entity_id").distinct(), groups, limit=1).where("_provenance_log is null").collect()
-    assert len(log) == 1
+    logged = [e for r in merge.log_parts(groups, rows=1).collect() for e in json.loads(r._provenance_log)]
+    assert sorted((e["source"], e["row_idx"]) for e in logged) == sorted((r._source_id, r._row_idx) for r in groups.collect())
+    # one entity in each of seventy sources
+    many = [(f"s{i:02}", spark.createDataFrame([(0, "Rahul Patel", "9876543210")], "_row_idx long, name string, phone string")) for i in range(70)]
+    same = entities.resolve(entities.unify(many, {"Customer_Name": {n: "name" for n, _ in many}, "Phone": {n: "phone" for n, _ in many}}))
+    assert merge.apply_merge(same, many, "Inner Join").count() == merge.apply_merge(same, many, "Left Join").count() == 1
 
 
 def test_schema_tools(spark):
