@@ -30,26 +30,26 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Runs kept with their ids, words encoded at once, bytes from which a word counts as long, ids decoded at once.
 CACHE_RUNS = 250_000
-WORDS_AT_ONCE = 10_000
+WORDS_AT_ONCE = 20_000
 LONG_WORD = 200
 IDS_AT_ONCE = 300_000
 
-#: All words at once, one merge per word and round; a word without a merge is done.
+#: All words at once, one merge per word and round; a word without a merge is done. Each row knows the token and the
+#: place that follow it, so that a round needs joins by word only and sorts nothing.
 SHORT_WORDS = """
-WITH RECURSIVE state(word, pos, tok, done) AS (
-  SELECT word, pos, tok, false FROM seed
+WITH RECURSIVE state(word, pos, tok, nxtpos, nxt, done) AS (
+  SELECT word, pos, tok, nxtpos, nxt, false FROM seed
   UNION ALL
-  (WITH live AS (
-     SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state WHERE NOT done),
-   pairs AS (
-     SELECT l.word, l.pos, l.tok, m.made::BIGINT << 20 | l.pos AS k
-     FROM live l LEFT JOIN merges m ON m.a = l.tok AND m.b = l.nxt),
-   best AS (
-     SELECT word, pos, tok, k, lag(k) OVER w AS before,
-            min(k) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS low
-     FROM pairs WINDOW w AS (PARTITION BY word ORDER BY pos))
-   SELECT word, pos, CASE WHEN k = low THEN (k >> 20)::INTEGER ELSE tok END, low IS NULL
-   FROM best WHERE low IS NULL OR before IS DISTINCT FROM low))
+  (WITH best AS (
+     SELECT s.word, min(m.made::BIGINT * 4294967296 + s.pos * 65536 + s.nxtpos) AS k
+     FROM state s JOIN merges m ON m.a = s.tok AND m.b = s.nxt WHERE NOT s.done GROUP BY s.word),
+   places AS (
+     SELECT word, (k >> 32)::INTEGER AS made, (k >> 16 & 65535)::INTEGER AS first, (k & 65535)::INTEGER AS second FROM best),
+   hits AS (SELECT p.*, s.nxtpos, s.nxt FROM places p JOIN state s ON s.word = p.word AND s.pos = p.second)
+   SELECT s.word, s.pos, CASE WHEN s.pos = h.first THEN h.made ELSE s.tok END,
+     CASE WHEN s.pos = h.first THEN h.nxtpos ELSE s.nxtpos END,
+     CASE WHEN s.pos = h.first THEN h.nxt WHEN s.nxtpos = h.first THEN h.made ELSE s.nxt END, h.word IS NULL
+   FROM state s LEFT JOIN hits h ON h.word = s.word WHERE NOT s.done AND s.pos IS DISTINCT FROM h.second))
 SELECT word, pos, tok FROM state WHERE done ORDER BY word, pos
 """
 
@@ -115,12 +115,15 @@ class Codec:
     def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        pos = (np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        pos = (np.arange(len(word)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         tok = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         if (tok < 0).any():
             raise ValueError("the vocabulary lacks single bytes")
-        self.db.register("seed", pa.table({"word": word, "pos": pos, "tok": tok}))
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[ends - 1] = -1  # which no merge has
+        self.db.register("seed", pa.table({"word": word, "pos": pos, "tok": tok, "nxtpos": pos + 1, "nxt": nxt}))
         done = self.db.sql(query).to_arrow_table()
         ids = done.column("tok").to_numpy().astype("<u4").tobytes()
         cuts = np.searchsorted(done.column("word").to_numpy(), np.arange(len(words) + 1)) * 4
