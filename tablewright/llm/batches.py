@@ -30,7 +30,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The rows in pieces of about ``PIECE_BYTES`` bytes of text."""
+    """The rows in pieces of about ``PIECE_BYTES`` bytes of text; what Arrow has free goes back to the system after the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -41,3 +41,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
             stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()

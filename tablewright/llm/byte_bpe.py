@@ -7,7 +7,7 @@ contracted, until nothing changes. Decoding joins the ids with the vocabulary an
 
 Null and empty texts have no ids and decode to nothing. Repeated rows are encoded once each. Columns besides
 id and text are ignored. Memory is bounded by the piece of text at hand, the cache of runs (cleared when full)
-and DuckDB's own limit.
+and DuckDB's own limit, all of which end with the task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -174,21 +174,30 @@ class Codec:
             start = stop
         return out
 
+    def close(self) -> None:
+        self.db.close()
+        self.runs.clear()
+        self.ranks.clear()
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process, kept from task to task."""
-    return Codec(path, pattern)
+
+@contextmanager
+def codec(path: str, pattern: str) -> Iterator[Codec]:
+    """A codec for one task; worker processes outlive tasks and give its memory back here."""
+    own = Codec(path, pattern)
+    try:
+        yield own
+    finally:
+        own.close()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary): the ids as little-endian unsigned 32-bit integers, each row of ``docs`` once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in pieces(batches):
-            ids = own.encode([text or "" for text in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+        with codec(path, pattern) as own:
+            for batch in pieces(batches):
+                ids = own.encode([text or "" for text in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
     small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
@@ -199,12 +208,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(id, bytes binary) of rows whose ids are packed as ``encode`` packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
-                texts = own.decode([ids or b"" for ids in some.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.binary())], names=[id_col, "bytes"])
+        with codec(path, pattern) as own:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    some = batch.slice(start, 500)
+                    texts = own.decode([ids or b"" for ids in some.column(1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.binary())], names=[id_col, "bytes"])
 
     picked = encoded.select(id_col, ids_col)
     return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, bytes binary")
@@ -214,18 +223,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(id, n_tokens, ids_sha256, decoded_sha256): texts encoded, and what their ids decode to, as digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in pieces(batches):
-            ids = own.encode([text or "" for text in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids)]),
-                ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with codec(path, pattern) as own:
+            for batch in pieces(batches):
+                ids = own.encode([text or "" for text in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids)]),
+                    ],
+                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     small_batches(docs.sparkSession)
     picked = docs.select(id_col, F.col(text_col).cast("string"))
