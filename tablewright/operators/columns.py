@@ -40,8 +40,8 @@ def number_cells(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequ
     return cells.select(*keep, "ord", "column", parse(F.col("value")).alias("x")).where(F.col("x").isNotNull())
 
 
-def column_facts(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts per column: rows, empty cells, cell types and whether the column is numeric throughout."""
+def column_facts(cells: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Counts per column: rows, empty cells, cell types, whether all cells are numbers or dates, and ``extra`` aggregates."""
     value = F.col("value")
     typed = cells.withColumn("_type", cell_type(value)).withColumn("_x", parse_money(value))
     return typed.groupBy(*keys, "ord", "column").agg(
@@ -54,28 +54,15 @@ def column_facts(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count("_x").alias("numbers"),
         F.count_if(F.col("_x") < 0).alias("negatives"),
         F.coalesce(F.bool_and(is_numeric_text(value)), F.lit(False)).alias("all_numeric"),
+        F.coalesce(F.bool_and(F.when(value.isNotNull(), is_date(value))), F.lit(False)).alias("all_dates"),
         F.avg("_x").alias("mean"),
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
         F.stddev_samp("_x").alias("std"),
+        *extra,
     )
 
 
-def early_date_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Columns whose first ten non-null cells, in row order, are all dates: ``(*keys, ord, early_dates)``.
-
-    No sort is needed: this holds when no cell fails as a date, or when ten or more non-null cells lie
-    before the first one that fails. The second pass reads only the cells before that point.
-    """
-    cells = text_cells(df, columns, [*keys, ROW]).where(F.col("value").isNotNull())
-    first_bad = cells.groupBy(*keys, "ord").agg(F.min(F.when(~is_date(F.col("value")), F.col(ROW))).alias("_bad"))
-    before = cells.join(F.broadcast(first_bad), [*keys, "ord"]).groupBy(*keys, "ord").agg(
-        F.coalesce(F.count_if(F.col(ROW) < F.col("_bad")) >= 10, F.lit(False)).alias("_ten"),
-        F.bool_and(F.col("_bad").isNull()).alias("_all"),
-    )
-    return before.select(*keys, "ord", (F.col("_ten") | F.col("_all")).alias("early_dates"))
-
-
 def value_counts(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of cells per column and value, combined on the map side; hot values travel once per task."""
     return cells.where(F.col("value").isNotNull()).groupBy(*keys, "ord", "column", "value").agg(F.count("*").alias("n"))
@@ -87,7 +74,8 @@ def exact_quantiles(
     """Linearly interpolated quantiles ``q0, q1, ...`` and the count ``n`` per key, without one big group.
 
     A mergeable sketch brackets each wanted rank. A second pass counts what lies below the bracket and keeps
-    the distinct values inside it, at most a ``6 / accuracy`` share of the rows, which are then ranked.
+    the distinct values inside it, at most a ``6 / accuracy`` share of the rows, which are then ranked. A rank that
+    lies outside its bracket is an error, never a wrong value.
     ``keys`` must name few groups, such as columns of a table: the brackets are broadcast.
     """
     margin = 2.0 / accuracy
@@ -104,6 +92,7 @@ def exact_quantiles(
                 F.when(tiny, F.lit(float("-inf"))).otherwise(F.col("_points")[2 * i]).alias("low"),
                 F.when(tiny, F.lit(float("inf"))).otherwise(F.col("_points")[2 * i + 1]).alias("high"),
                 ((F.col("n") - 1) * F.lit(p)).alias("h"),
+                tiny.alias("sure"),
             )
             for i, p in enumerate(probs)
         ]
@@ -113,17 +102,21 @@ def exact_quantiles(
     kept = (
         cells.join(F.broadcast(wanted), list(keys))
         .where(x <= F.col("high"))
-        .groupBy(*keys, "i", "n", "h", F.when(x >= F.col("low"), x).alias("_v"))
+        .groupBy(*keys, "i", "n", "h", "sure", F.when(x >= F.col("low"), x).alias("_v"))
         .agg(F.count("*").alias("_w"))
     )
     order = Window.partitionBy(*keys, "i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_cum", F.sum("_w").over(order))
     below, above = F.floor("h"), F.ceil("h")
-    picked = ranked.groupBy(*keys, "i", "n", "h").agg(
+    picked = ranked.groupBy(*keys, "i", "n", "h", "sure").agg(
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_cum"))), F.lit(0)).alias("_under"),
+        F.max("_cum").alias("_upto"),
         F.min(F.when(F.col("_cum") > below, F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_cum") > above, F.col("_v"))).alias("_z"),
     )
-    result = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("h") - below)
+    inside = F.col("sure") | ((F.col("_under") <= below) & (F.col("_upto") > above))
+    missed = F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")
+    result = F.when(inside, F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("h") - below)).otherwise(missed)
     return picked.groupBy(*keys).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, result)).alias(f"q{i}") for i in range(len(probs))]
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ SKU = (("sku", "product_id"), 0)
 PRODUCT = (("product_name", "product"), 1)
 SOLD = (("quantity_sold", "quantity", "qty"), 2)
 STOCK = (("stock_remaining", "quantity", "stock"), 2)
+#: A test of (stock, sold), such as a comparison with a stock count.
+Variance = Callable[[Column, Column], Column]
 # Stock below this is low.
 LOW_STOCK = 5
 
@@ -25,11 +29,6 @@ def pick(df: DataFrame, wanted: tuple[tuple[str, ...], int]) -> Column:
     return F.col(f"`{name or columns[wanted[1]]}`").cast("string")
 
 
-def variance_flag(stock: Column, sold: Column) -> Column:
-    """Stand-in for a stock count: flags every seventh sum. Pass another predicate for real counts."""
-    return (stock + sold) % 7 == 0
-
-
 def matched_sales(pos: DataFrame, inventory: DataFrame) -> DataFrame:
     """Every sales row with the stock of the first inventory row of its SKU, NULL if there is none."""
     sales = pos.select(
@@ -48,8 +47,8 @@ def _finding(test: Column, kind: str, severity: str, details: Column) -> Column:
     return F.when(test, row)
 
 
-def reconcile_inventory(pos: DataFrame, inventory: DataFrame, variance=variance_flag) -> DataFrame:
-    """All findings: unknown SKUs on either side, negative, low and deviating stock."""
+def reconcile_inventory(pos: DataFrame, inventory: DataFrame, variance: Variance | None = None) -> DataFrame:
+    """All findings: unknown SKUs on either side, negative and low stock, and stock that ``variance`` finds to deviate."""
     stock, sold = F.col("stock"), F.col("sold")
     units = stock.cast("string")
     findings = F.array(
@@ -59,7 +58,7 @@ def reconcile_inventory(pos: DataFrame, inventory: DataFrame, variance=variance_
             F.lit("Inventory database records negative stock balance: "), units, F.lit(" units remaining."))),
         _finding((stock >= 0) & (stock < LOW_STOCK), "Critical Low Stock", "Warning", F.concat(
             F.lit("Stock is depleted. Only "), units, F.lit(" units remaining in warehouse inventory."))),
-        _finding(variance(stock, sold), "Stock-Sales Discrepancy", "High", F.concat(
+        _finding(variance(stock, sold) if variance else F.lit(False), "Stock-Sales Discrepancy", "High", F.concat(
             F.lit("POS and warehouse inventory logs differ by "), sold.cast("string"), F.lit(" units. Discrepancy requires physical audit."))),
     )
     by_sale = matched_sales(pos, inventory).select("sku", "product_name", F.explode(F.array_compact(findings)).alias("f"))
@@ -74,7 +73,7 @@ def reconcile_inventory(pos: DataFrame, inventory: DataFrame, variance=variance_
     return by_sale.select("sku", "product_name", "f.*").unionByName(unsold)
 
 
-def inventory_stats(pos: DataFrame, inventory: DataFrame, variance=variance_flag) -> DataFrame:
+def inventory_stats(pos: DataFrame, inventory: DataFrame, variance: Variance | None = None) -> DataFrame:
     """Row counts of each finding and of the sales rows with stock."""
     kinds = {
         "mismatch_skus": ("Stock-Sales Discrepancy",), "negative_stock_skus": ("Negative Stock Balance",),

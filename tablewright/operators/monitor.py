@@ -178,9 +178,7 @@ def fan_out(alert_rows: DataFrame) -> DataFrame:
     body = F.concat(F.lit("Target: "), F.col("dataset_target"), F.lit(" | "), F.col("message"))
     short = F.when(F.length(body) > SNIPPET, F.concat(F.left(body, F.lit(SNIPPET)), F.lit("..."))).otherwise(body)
     sent = F.explode(F.array_distinct(F.array_compact(F.transform(wanted, known))))
-    return alert_rows.select(
-        "alert_id", "severity", sent.alias("channel"), F.lit("DELIVERED").alias("status"), short.alias("content_snippet")
-    )
+    return alert_rows.select("alert_id", "severity", sent.alias("channel"), short.alias("content_snippet"))
 
 
 def freshness(rows: DataFrame, source: str, time: str, as_of: Column) -> DataFrame:

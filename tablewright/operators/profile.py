@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import percent, round_even
@@ -13,9 +13,7 @@ from tablewright.operators.columns import (
     ROW,
     column_facts,
     data_columns,
-    early_date_columns,
     text_cells,
-    value_counts,
 )
 
 # Completeness tiers by column name; a column belongs to the first tier that fits.
@@ -24,27 +22,26 @@ STANDARD_NAMES = ("phone", "email", "name", "date", "contact", "mobile")
 
 
 def logical_type(numeric: str = "Numeric", date: str = "DateTime/Other") -> F.Column:
-    """Type from ``present``, ``all_numeric`` and ``early_dates``."""
+    """Type from ``present``, ``all_numeric`` and ``all_dates``."""
     return (
         F.when((F.col("present") > 0) & F.col("all_numeric"), numeric)
-        .when((F.col("present") > 0) & F.col("early_dates"), date)
+        .when((F.col("present") > 0) & F.col("all_dates"), date)
         .otherwise("Categorical")
     )
 
 
-def column_details(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Everything known about every column, per ``keys`` if given; one row per column."""
+def column_details(df: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Everything known about every column, per ``keys`` if given, with ``extra`` aggregates; one row per column."""
     columns = [c for c in data_columns(df) if c not in keys]
     cells = text_cells(df, columns, keys)
     by = [*keys, "ord"]
-    distinct = value_counts(cells, keys).groupBy(*by).agg(F.count("*").alias("cardinality"))
-    dates = early_date_columns(df, columns, keys)
-    merged = column_facts(cells, keys).join(F.broadcast(distinct), by, "left").join(F.broadcast(dates), by, "left")
-    return (
-        merged.withColumn("early_dates", F.coalesce("early_dates", F.lit(False)))
-        .withColumn("cardinality", F.coalesce("cardinality", F.lit(0)).cast("bigint"))
-        .withColumn("type", logical_type())
-    )
+    # Long texts are counted by their digest; shorter ones, whose bytes no digest equals, as they are.
+    value = F.col("value")
+    mark = F.when(F.octet_length(value) < 32, value.cast("binary")).otherwise(F.unhex(F.sha2(value, 256)))
+    marks = cells.where(value.isNotNull()).select(*by, mark.alias("_mark")).distinct()
+    distinct = marks.groupBy(*by).agg(F.count("*").alias("cardinality"))
+    merged = column_facts(cells, keys, extra).join(distinct if keys else F.broadcast(distinct), by, "left")
+    return merged.withColumn("cardinality", F.coalesce("cardinality", F.lit(0)).cast("bigint")).withColumn("type", logical_type())
 
 
 def column_profile(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -74,8 +71,7 @@ def scoped_profile(df: DataFrame, role: str, selected: Sequence[str] | None = No
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, columns, cells and the number of columns of each type, as one row."""
     columns = data_columns(df)
-    facts = column_facts(text_cells(df)).join(F.broadcast(early_date_columns(df, columns)), "ord", "left")
-    typed = facts.withColumn("early_dates", F.coalesce("early_dates", F.lit(False))).withColumn("type", logical_type())
+    typed = column_facts(text_cells(df)).withColumn("type", logical_type())
     rows = F.coalesce(F.max("n"), F.lit(0))
     return typed.agg(
         rows.alias("num_rows"),

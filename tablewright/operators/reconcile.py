@@ -234,7 +234,10 @@ def match_payments(inv: DataFrame, pay: DataFrame, one_task: int = ONE_TASK_ROWS
     cannot influence each other.
     """
     referred = first_referred(inv, pay).withColumnRenamed("i", "reserved")
-    pay = cut_lineage(pay.join(referred, "p_key", "left"))
+    # Payments without reference refer to nothing, however many there are.
+    blank = F.coalesce("p_key", F.lit("")) == ""
+    unreferred = pay.where(blank).withColumn("reserved", F.lit(None).cast("bigint"))
+    pay = cut_lineage(pay.where(~blank).join(referred, "p_key", "left").unionByName(unreferred))
     inv = cut_lineage(inv)
     owned = pay.where(F.col("reserved").isNotNull()).select(F.col("reserved").alias("i"), "p", "p_name")
     pairs = cut_lineage(similar_pairs(inv, pay).join(inv.select("i", "i_name"), "i").join(pay.select("p", "p_name"), "p"))
@@ -295,10 +298,11 @@ def payment_ledger(invoices: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def ledger_stats(ledger: DataFrame) -> DataFrame:
-    """Count and share per status, the two kinds of unmatched rows together."""
+    """Count and share per status, the two kinds of unmatched rows together; payments alone count as none."""
     status = F.when(F.col("status") == "Unmatched Payment", "Unmatched").otherwise(F.col("status"))
     names = {"matched": "Matched", "partial": "Partial", "unmatched": "Unmatched", "duplicate": "Duplicate", "conflict": "Conflict"}
     counts = [F.count_if(status == v).alias(k) for k, v in names.items()]
-    totals = ledger.agg(F.count("*").alias("total"), *counts)
+    totals = ledger.agg(F.count("*").alias("total"), F.count_if(F.col("status") != "Unmatched Payment").alias("invoices"), *counts)
     share = {k: F.coalesce(F.bround(F.try_divide(F.col(k) * F.lit(1.0), F.col("total")) * 100, 1), F.lit(0.0)) for k in names}
-    return totals.select(*names, *[s.alias(f"{k}_pct") for k, s in share.items()])
+    shown = {k: F.col(k) for k in names} | {"unmatched": F.when(F.col("invoices") > 0, F.col("unmatched")).otherwise(0)}
+    return totals.select(*[c.alias(k) for k, c in shown.items()], *[s.alias(f"{k}_pct") for k, s in share.items()])

@@ -102,7 +102,6 @@ BOOSTS = {
     "Last_Login": ("login", "last_login", "lastlogin"),
 }
 BOOST = 15.0
-SAMPLE = 50
 MAP_AT, HIGH_AT, MEDIUM_AT = 50, 85, 60
 # Reason per level.
 REASONS = {
@@ -143,26 +142,11 @@ def _patterns() -> dict[str, Column]:
     }
 
 
-def column_samples(df: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """First non-null values of each column: a bounded heap per task, no sort and no window."""
-    parts = []
-    for i, name in enumerate(data_columns(df)):
-        value = F.col(f"`{name}`").cast("string")
-        head = df.where(value.isNotNull()).orderBy(ROW).limit(size)
-        parts.append(head.select(F.lit(i).alias("ord"), value.alias("value")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
 def column_scores(source_id: str, df: DataFrame) -> DataFrame:
     """Score of every column of a source for every target field."""
     spark = df.sparkSession
-    shares = column_samples(df).groupBy("ord").agg(
-        *[(F.count_if(p) / F.count("*") * 100.0).alias(f"p_{n}") for n, p in _patterns().items()]
-    )
-    facts = column_details(df).select("ord", "type", "present").join(F.broadcast(shares), "ord", "left")
+    shares = {f"p_{n}": F.try_divide(F.count_if(p), F.count("value")) * 100.0 for n, p in _patterns().items()}
+    facts = column_details(df, extra=[share.alias(n) for n, share in shares.items()]).select("ord", "type", "present", *shares)
     columns = data_columns(df)
     pairs = [(i, c, k, t, name_score(t, c), TARGET_TYPES[t]) for i, c in enumerate(columns) for k, t in enumerate(TARGETS)]
     named = spark.createDataFrame(pairs, "ord int, column string, target_ord int, target_field string, name_sim double, target_type string")

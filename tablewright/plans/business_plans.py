@@ -153,7 +153,6 @@ ano AS (SELECT sku, product_name, 'Missing SKU in Stock Logs' AS anomaly_type, '
     'Product is recorded in POS sales (' || sold || ' units sold) but does not exist in inventory lists.' AS details FROM mat WHERE stock IS NULL
   UNION ALL SELECT sku, product_name, 'Negative Stock Balance', 'Critical', 'Inventory database records negative stock balance: ' || stock || ' units remaining.' FROM mat WHERE stock < 0
   UNION ALL SELECT sku, product_name, 'Critical Low Stock', 'Warning', 'Stock is depleted. Only ' || stock || ' units remaining in warehouse inventory.' FROM mat WHERE stock >= 0 AND stock < 5
-  UNION ALL SELECT sku, product_name, 'Stock-Sales Discrepancy', 'High', 'POS and warehouse inventory logs differ by ' || sold || ' units. Discrepancy requires physical audit.' FROM mat WHERE (stock + sold) % 7 = 0
   UNION ALL SELECT {q.strip('SKU')}, Product_Name, 'Missing SKU in POS Sales', 'Info', 'SKU exists in stock logs (' || Stock_Remaining || ' units remaining) but has no record of POS sales.'
     FROM stock WHERE {q.strip('SKU')} NOT IN (SELECT sku FROM sal))"""
 
@@ -192,12 +191,11 @@ def match_sql() -> str:
     word = lambda x: q.sort_words(f"replace(lower({x}), '_', ' ')")
     return f""", ce AS ({cells}), tv AS (SELECT *, {q.money('v')} AS x FROM ce WHERE v IS NOT NULL),
     ty AS (SELECT s, o, c, CASE WHEN bool_and(x IS NOT NULL OR {q.money_text('v')} = '') THEN 'Numeric' WHEN bool_and({q.date('v')} IS NOT NULL) THEN 'DateTime' ELSE 'Categorical' END AS ft FROM tv GROUP BY 1, 2, 3),
-    sm AS (SELECT *, row_number() OVER (PARTITION BY s, c ORDER BY _row_idx) AS r FROM tv),
     pt AS (SELECT s, c, 100.0::DOUBLE * avg(regexp_full_match({q.strip('v')}, '-?\\$?\\d+[\\d,.]*')::INT) AS pn,
       100.0::DOUBLE * avg((contains(v, '-') OR contains(v, '/') OR regexp_matches(v, '\\b\\d{{4}}\\b'))::INT) AS pd,
       100.0::DOUBLE * avg((length(regexp_replace(v, '\\D', '', 'g')) >= 8)::INT) AS pp, 100.0::DOUBLE * avg(contains(v, '@')::INT) AS pe,
       100.0::DOUBLE * avg((length({q.strip('v')}) = 15)::INT) AS pg,
-      100.0::DOUBLE * avg((length({q.strip('v')}) > 3 AND NOT regexp_matches(v, '\\d') AND contains(v, ' '))::INT) AS pc FROM sm WHERE r <= 50 GROUP BY 1, 2),
+      100.0::DOUBLE * avg((length({q.strip('v')}) > 3 AND NOT regexp_matches(v, '\\d') AND contains(v, ' '))::INT) AS pc FROM tv GROUP BY 1, 2),
     tg AS (SELECT *, {word('t')} AS ta, {word('c')} AS ca FROM (VALUES {targets}) z(t, tt, s, c, boost)),
     sc AS (SELECT tg.t, tg.s, tg.c, ty.o, least(100.0::DOUBLE, {q.ratio('ta', 'ca')} + CASE WHEN boost THEN 15 ELSE 0 END) AS ns,
       CASE WHEN ft = tt THEN 100.0::DOUBLE WHEN ft <> 'Numeric' AND tt <> 'Numeric' THEN 80.0::DOUBLE WHEN ft <> 'DateTime' AND tt <> 'DateTime' THEN 60.0::DOUBLE ELSE 30.0::DOUBLE END AS co,
@@ -359,7 +357,7 @@ CHECKS = {
     "channel_fanout": rules_sql(
         COOLED,
         """, ch AS (SELECT *, unnest(string_split(channels, '|')) AS channel, 'Target: ' || dataset_target || ' | ' || message AS body FROM opn)
-        SELECT alert_id, severity, channel, 'DELIVERED' AS status, CASE WHEN length(body) > 120 THEN left(body, 120) || '...' ELSE body END AS content_snippet FROM ch""",
+        SELECT alert_id, severity, channel, CASE WHEN length(body) > 120 THEN left(body, 120) || '...' ELSE body END AS content_snippet FROM ch""",
     ),
     "freshness": f"""SELECT event_type AS source, max(ts) AS last_seen, round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 6e7::DOUBLE, 1) AS lag_minutes FROM events GROUP BY 1""",
 }

@@ -106,10 +106,9 @@ class Steps:
   count(*) FILTER (x < 0) AS negatives, count(DISTINCT v) AS cardinality,
   bool_and(x IS NOT NULL OR {q.money_text('v')} = '') FILTER (v IS NOT NULL) AS all_numeric,
   avg(x) AS mean, min(x) AS min, max(x) AS max, stddev_samp(x) AS std FROM {p}typed GROUP BY ord, "column"),
-{p}early AS (SELECT ord, bool_and({q.date('v')} IS NOT NULL) AS early FROM (
-  SELECT ord, v, row_number() OVER (PARTITION BY ord ORDER BY _row_idx) AS r FROM {p}cells WHERE v IS NOT NULL) z WHERE r <= 10 GROUP BY ord),
-{p}kinds AS (SELECT f.*, CASE WHEN present > 0 AND all_numeric THEN 'Numeric' WHEN early THEN 'DateTime/Other' ELSE 'Categorical' END AS type
-  FROM {p}facts f LEFT JOIN {p}early e ON f.ord = e.ord)"""
+{p}dates AS (SELECT ord, bool_and({q.date('v')} IS NOT NULL) AS dated FROM {p}cells WHERE v IS NOT NULL GROUP BY ord),
+{p}kinds AS (SELECT f.*, CASE WHEN present > 0 AND all_numeric THEN 'Numeric' WHEN dated THEN 'DateTime/Other' ELSE 'Categorical' END AS type
+  FROM {p}facts f LEFT JOIN {p}dates e ON f.ord = e.ord)"""
         self.variants = f"""{p}spell AS (SELECT ord, "column", lower(s) AS folded, s, min(_row_idx) AS first FROM (
   SELECT *, {q.strip('v')} AS s FROM {p}cells WHERE NOT {q.empty('v')}) z GROUP BY 1, 2, 3, 4),
 {p}folds AS (SELECT ord, "column", folded, count(*) AS variants, string_agg(s, ', ' ORDER BY first) AS shown FROM {p}spell

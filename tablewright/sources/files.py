@@ -21,11 +21,14 @@ MISSING = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 CORRUPT = "_corrupt_record"
+#: What the reader puts in the place of bytes that are not UTF-8.
+UNDECODED = "\ufffd"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
     """CSV as text columns; the usual missing marks become NULL, rows that do not fit go to ``_corrupt_record``.
 
+    Bytes that are not UTF-8 are dropped.
     Without ``columns`` the header of the files is used.
     """
     names = list(columns) if columns else spark.read.option("header", True).csv(path).columns
@@ -35,7 +38,8 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str]
         .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8", nullValue="", enforceSchema=False)
         .csv(path)
     )
-    return table.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in names], CORRUPT)
+    cells = {c: F.replace(F.col(f"`{c}`"), F.lit(UNDECODED), F.lit("")) for c in names}
+    return table.select(*[F.when(~cell.isin(*MISSING), cell).alias(c) for c, cell in cells.items()], CORRUPT)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,15 +70,18 @@ def source_report(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return detect_sources(rows).drop("columns", "reason").withColumnRenamed("detected_source", "source_type")
 
 
-def admission(files: DataFrame, signature: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Verdict per file of a ``binaryFile`` scan, checks in the order size, content, extension."""
+def admission(spark: SparkSession, path: str, signature: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Verdict per file, checks in the order size, content, extension; the bytes of larger files are never read."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= max_bytes)
+    infected = small.where(F.contains(F.col("content"), F.lit(signature.encode()))).select("path", F.lit(True).alias("infected"))
     extension = F.lower(F.element_at(F.split("path", r"\."), -1))
     reason = (
         F.when(F.col("length") > max_bytes, "File too large. Limits are set at 10MB.")
-        .when(F.contains(F.col("content"), F.lit(signature.encode())), "Security Scan Blocked")
+        .when(F.col("infected"), "Security Scan Blocked")
         .when(~extension.isin(*EXTENSIONS), "Unsupported file format. Please upload CSV or Excel spreadsheet.")
     )
-    return files.select("path", "length", reason.alias("reason"), reason.isNull().alias("accepted"))
+    return files.select("path", "length").join(infected, "path", "left").select("path", "length", reason.alias("reason"), reason.isNull().alias("accepted"))
 
 
 def export_masked(df: DataFrame, role: str, path: str) -> None:

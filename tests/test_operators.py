@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import dates, numbers, similarity, text
 from tablewright.functions.masking import mask_value
-from tablewright.operators import access, columns, entities, fixes, inventory, merge, monitor, privacy, profile, quality, rules, schemas, suitability
+from tablewright.operators import access, columns, entities, fixes, inventory, merge, monitor, privacy, profile, quality, reconcile, rules, schemas, suitability
 from tablewright.sources import files
 
 
@@ -190,14 +190,16 @@ def test_cooldown(spark):
 
 def test_files(spark, tmp_path):
     path = tmp_path / "pos_export.csv"
-    path.write_bytes(b"POS_ID,Customer\n1,Ann\n2,NA\n3,\xff\n4,a,b\n")
+    path.write_bytes(b"POS_ID,Customer\n1,A\xffnn\n2,NA\n3,\xff\n4,a,b\n")
     rows = files.read_csv(spark, str(path)).collect()
-    assert rows[1].Customer is None and rows[3]._corrupt_record is not None
+    assert rows[0].Customer == "Ann" and rows[1].Customer is None and rows[2].Customer is None and rows[3]._corrupt_record is not None
     (tmp_path / "bad.csv").write_bytes(b"xx SIGNATURE yy")
     (tmp_path / "x.txt").write_bytes(b"1")
-    verdicts = files.admission(spark.read.format("binaryFile").load(str(tmp_path)), "SIGNATURE")
+    verdicts = files.admission(spark, str(tmp_path), "SIGNATURE")
     found = {os.path.basename(r.path): r.reason for r in verdicts.collect()}
     assert found["pos_export.csv"] is None and found["bad.csv"].startswith("Security") and found["x.txt"].startswith("Unsupported")
+    small = {os.path.basename(r.path): r.reason for r in files.admission(spark, str(tmp_path), "SIGNATURE", 2).collect()}
+    assert small["bad.csv"].startswith("File too large") and small["x.txt"].startswith("Unsupported")
     report = files.source_report(spark, {"s1": str(path)}).first()
     assert report.source_type == "POS Export" and report.cols == 2
     table = spark.createDataFrame([(0, "rahul@test.com")], "_row_idx long, Email string")
@@ -211,3 +213,42 @@ def test_files(spark, tmp_path):
     files.save_merged(table, str(tmp_path), "unified_1", {"key": "Customer_Name"})
     assert files.read_table(spark, str(tmp_path), "unified_1").count() == 1
     assert files.dataset_catalog({"t": table}).first().cols == 1
+
+
+def test_types_look_at_all_cells(spark):
+    """A column whose first cells are dates is a date column only if all others are."""
+    rows = [(i, "2024-01-02", "2024-01-02" if i < 20 else "later") for i in range(40)]
+    found = profile.column_profile(spark.createDataFrame(rows, "_row_idx long, a string, b string")).collect()
+    assert {r.column: r.type for r in found} == {"a": "DateTime/Other", "b": "Categorical"}
+
+
+def test_distinct_counts_of_long_texts(spark):
+    rows = [(i, ("x" * 100) + str(i % 7), "ab"[i % 2]) for i in range(50)]
+    found = profile.column_profile(spark.createDataFrame(rows, "_row_idx long, a string, b string")).collect()
+    assert {r.column: r.cardinality for r in found} == {"a": 7, "b": 2}
+
+
+def test_ledger_with_an_empty_side(spark):
+    ledger = spark.createDataFrame([("Unmatched Payment",)] * 3, "status string")
+    only_payments = reconcile.ledger_stats(ledger).first()
+    assert (only_payments.unmatched, only_payments.unmatched_pct) == (0, 100.0)
+    only_invoices = reconcile.ledger_stats(spark.createDataFrame([("Unmatched",)] * 3, "status string")).first()
+    assert (only_invoices.unmatched, only_invoices.unmatched_pct) == (3, 100.0)
+    assert reconcile.ledger_stats(ledger.limit(0)).first().unmatched_pct == 0.0
+
+
+def test_missed_rank_is_an_error(spark, monkeypatch):
+    """A sketch whose bracket misses the rank must not give a wrong quantile."""
+    numbers = spark.range(2000).selectExpr("'c' AS k", "cast(id AS double) AS x")
+    exact = columns.exact_quantiles(numbers, ["k"], "x", [0.25, 0.5], accuracy=100).first()
+    assert (exact.q0, exact.q1) == (499.75, 999.5)
+    monkeypatch.setattr(columns.F, "percentile_approx", lambda value, points, accuracy: F.array(*[F.max(value) for _ in points]))
+    with pytest.raises(Exception, match="outside its bracket"):
+        columns.exact_quantiles(numbers, ["k"], "x", [0.5], accuracy=100).first()
+
+
+def test_stock_deviates_only_by_a_given_test(spark):
+    pos = spark.createDataFrame([(0, "a", "p", 3)], "_row_idx long, SKU string, Product_Name string, Quantity_Sold int")
+    stock = spark.createDataFrame([(0, "a", "p", 11)], "_row_idx long, SKU string, Product_Name string, Stock_Remaining int")
+    assert inventory.reconcile_inventory(pos, stock).count() == 0
+    assert inventory.reconcile_inventory(pos, stock, lambda left, sold: left > sold).first().anomaly_type == "Stock-Sales Discrepancy"
