@@ -131,10 +131,19 @@ def _level(fp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both & mask, mask
 
 
+def _roots(label: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The roots of ``rows``: every row's label is lower than the row, a root's is the root itself."""
+    hooked = rows
+    while len(hooked := np.unique(hooked[label[hooked] != label[label[hooked]]])):
+        label[hooked] = label[label[hooked]]
+    return label[rows]
+
+
 def links_within(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Rows (a, b) that join the rows of equal ``group`` within ``radius`` bits into their components.
 
-    Rows of a group are adjacent and in Gray order.
+    Rows of a group are adjacent and in Gray order. Only roots are hooked, each to the lowest root it is linked to, and a
+    pair is settled only when both ends have one root.
     """
     n = len(fp)
     begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
@@ -168,15 +177,14 @@ def links_within(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tup
         row = row[who]
         ok = (other > row) & (np.bitwise_count(fp[row] ^ fp[other]) <= radius)
         a, b = row[ok], other[ok]
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            left = label[a] != label[b]
-            a, b = a[left], b[left]
+        while True:
+            a, b = _roots(label, a), _roots(label, b)
+            left = a != b
+            if not left.any():
+                break
+            a, b = np.maximum(a[left], b[left]), np.minimum(a[left], b[left])
+            np.minimum.at(label, a, b)
+            label[a] = _roots(label, a)
         start = stop
     while not np.array_equal(label, label[label]):
         label = label[label]

@@ -75,6 +75,36 @@ def test_simhash_links_are_complete(spark, monkeypatch, node_rows):
     assert len(set(zip(mine, linked(values)))) == len(set(mine)) == len(set(linked(values)))
 
 
+def test_simhash_links_hook_roots_only():
+    def parts(values):
+        a, b = simhash_dedup.links_within(np.zeros(len(values), np.int64), np.array(values, np.uint64))
+        label = list(range(len(values)))
+        for x, y in zip(a.tolist(), b.tolist()):
+            low, high = sorted((label[x], label[y]))
+            label = [low if z == high else z for z in label]
+        return label
+
+    def gray(x):
+        for shift in (1, 2, 4, 8, 16, 32):
+            x ^= x >> shift
+        return x
+
+    chain = [sum(3 << 2 * i for i in range(k)) for k in range(9)]  # neighbours two bits apart, others four or more
+    assert parts([chain[(1, 3, 5, 7, 2, 8, 6, 4, 0).index(place)] for place in range(9)]) == [0] * 9
+    rng = random.Random(8)
+    for turn in range(600):
+        values = []
+        for _ in range(rng.randrange(1, 4)):
+            x, bits = rng.getrandbits(64), rng.sample(range(64), 64)
+            values.append(x)
+            for i in range(rng.randrange(32)):
+                x ^= (1 << bits[2 * i]) | (1 << bits[2 * i + 1])
+                values.append(x)
+        values = list(dict.fromkeys(values))
+        values.sort(key=gray) if turn % 2 else rng.shuffle(values)
+        assert parts(values) == linked(values)
+
+
 def test_simhash_edges(edges, nothing):
     got = {(r.doc_id, r.component_id) for r in simhash_dedup.groups(edges).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)} <= got
