@@ -6,6 +6,10 @@ of the format, and a keyed Feistel network, walked until it lands below that siz
 values so get equal pseudonyms in every document, different values different ones, and cards keep a valid check
 digit, dates stay dates. What fails validation (a date of no calendar, a card with a wrong check digit) stays.
 
+Digits that stand together are searched for cards from every group of digits to every other: unbroken numbers first,
+then the usual layouts, then others of up to five groups, and last the longest stretch. Dates with strokes or dots are read
+day first; where only month first is possible, they are permuted among the dates of which that is true too.
+
 A null text stays null, an empty one empty. Repeated rows are treated alike. Other columns pass unchanged; the text is
 replaced under its own name.
 """
@@ -34,9 +38,15 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{8,15}(?![\w]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
+    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,}(?![\w-]))"
     r"|(?P<secret>(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
 )
+#: The same without cards.
+OTHERS = re.compile(re.sub(r"\|\(\?P<card>.*?(?=\|\(\?P<secret>)", "", PATTERN.pattern))
+GROUP = re.compile("[0-9]+")
+#: Digits of a card, the groups it may have at most, and how cards are printed in groups.
+CARD_DIGITS, CARD_GROUPS = range(13, 20), 5
+LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 4, 4, 3), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)}
 WORTH_A_LOOK = re.compile("[0-9@]")
 ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 
@@ -101,14 +111,20 @@ def _ip(text: str, key: bytes) -> str:
 
 def _date(text: str, key: bytes) -> str:
     form = "%Y-%m-%d" if text[4] == "-" else "%d{0}%m{0}%Y".format(text[2])
+    month_first = text[4] != "-" and int(text[3:5]) > 12
+    if month_first:
+        form = "%m{0}%d{0}%Y".format(text[2])
     try:
         day = datetime.datetime.strptime(text, form).date().toordinal()
     except ValueError:
         return text
     if not FIRST_DAY <= day <= LAST_DAY:
         return text
-    moved = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
-    return datetime.date.fromordinal(moved).strftime(form)
+    while True:
+        day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
+        moved = datetime.date.fromordinal(day)
+        if not month_first or moved.day > 12:
+            return moved.strftime(form)
 
 
 def _phone(text: str, key: bytes) -> str:
@@ -124,6 +140,38 @@ def _card(text: str, key: bytes) -> str:
     return moved[:-1] + luhn_digit(re.sub("[ -]", "", moved)[:-1])
 
 
+def _in_run(text: str, begin: int, stop: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the values that start in a run of groups of digits: cards, and what has another form."""
+    groups = [found.span() for found in GROUP.finditer(text, begin, stop)]
+    free, out = [], []
+    for start, _ in groups:
+        free.append(not out or start >= out[-1][1])
+        if free[-1] and (other := OTHERS.match(text, start)):
+            free[-1] = False
+            out.append((*other.span(), other.lastgroup))
+    found = []
+    for i in range(len(groups)):
+        n, last = 0, None
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if not free[j] or n > CARD_DIGITS[-1]:
+                break
+            if n in CARD_DIGITS:
+                sizes = tuple(end - start for start, end in groups[i : j + 1])
+                last = (0 if len(sizes) == 1 else 1 if sizes in LAYOUTS else 2 if len(sizes) <= CARD_GROUPS else 3, i, -n, j)
+                if last[0] < 3:
+                    found.append(last)
+        if last and last[0] == 3 and (not i or not free[i - 1]):
+            found.append(last)
+    for _, i, _, j in sorted(found):
+        start, end = groups[i][0], groups[j][1]
+        digits = re.sub("[ -]", "", text[start:end])
+        if all(free[i : j + 1]) and luhn_digit(digits[:-1]) == digits[-1]:
+            free[i : j + 1] = [False] * (j + 1 - i)
+            out.append((start, end, "card"))
+    return sorted(out)
+
+
 def _secret(text: str, key: bytes) -> str:
     alphabet = "0123456789abcdef"
     value = permute(int(text, 16), 16 ** len(text), key, "secret")
@@ -143,15 +191,18 @@ def hide(text: str | None, key: bytes) -> tuple[str | None, int]:
     """``text`` with pseudonyms, and how many values were replaced."""
     if text is None or not WORTH_A_LOOK.search(text):
         return text, 0
-    n = 0
-
-    def swap(found: re.Match) -> str:
-        nonlocal n
-        new = pseudonym(found.lastgroup, found[0], key)
-        n += new != found[0]
-        return new
-
-    return PATTERN.sub(swap, text), n
+    parts, n, at = [], 0, 0
+    while found := PATTERN.search(text, at):
+        start, stop = found.span()
+        for begin, end, kind in _in_run(text, start, stop) if found.lastgroup == "card" else [(start, stop, found.lastgroup)]:
+            new = pseudonym(kind, text[begin:end], key)
+            n += new != text[begin:end]
+            parts += text[at:begin], new
+            at = end
+        parts.append(text[at:stop])
+        at = max(at, stop)
+    parts.append(text[at:])
+    return "".join(parts), n
 
 
 def hidden(text: Column, key: bytes) -> Column:

@@ -218,6 +218,36 @@ def test_pseudonyms(edges, nothing):
     assert pseudonyms.pseudonymise(nothing, KEY).count() == 0
 
 
+def test_pseudonyms_of_cards_among_other_digits():
+    card = "4111111111111111"
+    new = pseudonyms.hide(card, KEY)[0]
+    assert new != card and len(new) == 16 and pseudonyms.luhn_digit(new[:-1]) == new[-1]
+    for before in ("", "no 7 ", "7-", "12 34 56 ", "1234 5678 ", "1111-"):
+        for after in ("", " 12/27", "-123", " 123 4", " 12 27 2024", " 1111 2222 3333 4444 5555"):
+            assert new in pseudonyms.hide(before + card + after, KEY)[0], (before, after)
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    for text in ("7 {} 12 1", "{} 123", "1234 5678 {} 99", "5-{}-5"):
+        assert text.format(" ".join(new[i : i + 4] for i in range(0, 16, 4))) == pseudonyms.hide(text.format(spaced), KEY)[0]
+    assert pseudonyms.hide(f"{card} {card}-{card}", KEY) == (f"{new} {new}-{new}", 3)
+    assert pseudonyms.hide(f"{card} 031-12-2024", KEY)[0].startswith(new + " ") and "031-12-2024" not in pseudonyms.hide(f"{card} 031-12-2024", KEY)[0]
+    # other forms within, or from, a run of digits
+    for value in ("2024-12-31", "31.12.2024", "12/31/2024", "456 555 2186", "0123456789" * 4, "1234567890123@x.com"):
+        got, n = pseudonyms.hide(f"7 {card} {value} 8", KEY)
+        assert n == 2 and new in got and value not in got and pseudonyms.hide(value, KEY)[0] in got, value
+    assert pseudonyms.hide("12345678901234 " * 3, KEY)[1] == 0
+
+
+def test_pseudonyms_of_month_first_dates():
+    values = [f"{m:02}/{d:02}/{y}" for y in (1999, 2024) for m in range(1, 13) for d in range(1, 32)]
+    values += [f"{d:02}/{m:02}/{y}" for y in (1999, 2024) for m in range(1, 13) for d in range(13, 32)]
+    hidden = {v: pseudonyms.hide(v, KEY) for v in set(values)}
+    assert hidden["12/31/2024"][1] == 1 and hidden["02/30/2024"] == ("02/30/2024", 0) and hidden["31/12/2024"][1] == 1
+    assert len({new for new, _ in hidden.values()}) == len(hidden)
+    month, day, _ = hidden["12/31/2024"][0].split("/")
+    assert 1 <= int(month) <= 12 < int(day) <= 31
+    assert pseudonyms.hide("12.31.2024", KEY)[0] == hidden["12/31/2024"][0].replace("/", ".")
+
+
 def test_quality(spark, edges, nothing):
     rng = random.Random(4)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(40)) + "." for _ in range(150)]
