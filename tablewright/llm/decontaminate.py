@@ -1,8 +1,10 @@
 """Benchmark decontamination: windows of an item's size, their SimHash, Hamming blocks, exact similarity.
 
 Words are runs of letters and digits, lower-cased; shingles have five words (an item of fewer words is one shingle).
-Only documents that share enough shingles with an item for the similarity to be possible get windows: one at every
-place between the diagonals on which shingles meet, each as many shingles long as the item. A window's SimHash is
+Only documents that share enough shingles with an item for the similarity to be possible get windows, each as many
+shingles long as the item: one at every shingle of the item's from which on enough of them lie within the item's size, in
+whatever order, save where the window one place before holds no fewer, and those at and between near diagonals on which
+shingles meet. A window's SimHash is
 looked up in the items' by the eight byte blocks: ``RADIUS`` differing bits leave one block with at most two,
 so the items stand under all patterns two bits around their blocks, and no pair within the radius is missed. What
 is within the radius is verified by the exact weighted similarity, the sum of the lower counts of each shingle over
@@ -74,6 +76,20 @@ def _starts(diagonals: Column, m: Column) -> Column:
     return F.flatten(runs)
 
 
+def _dense_starts(places: Column, m: Column, need: Column) -> Column:
+    """The sorted ``places`` from which on ``m`` shingles hold ``need`` places or more, and one before do not hold as many.
+
+    A window that starts between places loses nothing by moving on to the next one. Nor does one by moving back
+    by one, if it so gains a place at the start and loses none at the end.
+    """
+    at = lambda i: F.get(places, i)
+    ends_full = lambda i: F.array_contains(F.slice(places, i + need, m - need + 1), at(i) + m - 1)
+    follows = lambda i: F.coalesce(F.get(places, F.greatest(i - 1, F.lit(0))) == at(i) - 1, F.lit(False))
+    dense = lambda i: F.coalesce(at(i + need - 1) - at(i) < m, F.lit(False))
+    kept = F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda i: dense(i) & (~follows(i) | ends_full(i)))
+    return F.transform(kept, at)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item, similarity, first_word, n_words): the best window of every document that has an item, and item."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -91,8 +107,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         part = texts.select("doc", words(F.col("text")).alias("words")).select("doc", F.lit(k).alias("k"), F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
         spread = part if spread is None else spread.unionByName(part)
     # an item can only be similar if that many of the document's shingles are its own
-    met = spread.join(at, ["k", "h"]).groupBy("doc", "item_id", "k", "m").agg(F.count_distinct("pos").alias("n"), F.collect_set(F.col("pos") - F.col("offset")).alias("diagonals"))
-    starts = F.transform(F.array_distinct(_starts(F.array_sort("diagonals"), F.col("m"))), lambda s: F.struct(F.col("m"), s.alias("start")))
+    met = spread.join(at, ["k", "h"]).groupBy("doc", "item_id", "k", "m").agg(F.count_distinct("pos").alias("n"), F.collect_set(F.col("pos") - F.col("offset")).alias("diagonals"), F.array_sort(F.collect_set("pos")).alias("places"))
+    need = F.greatest(F.lit(1), F.ceil(similarity * F.col("m") - 1e-9).cast("int"))
+    both = F.array_union(_starts(F.array_sort("diagonals"), F.col("m")), _dense_starts(F.col("places"), F.col("m"), need))
+    starts = F.transform(both, lambda s: F.struct(F.col("m"), s.alias("start")))
     enough = met.where(F.col("n") >= similarity * F.col("m") - 1e-9)
     wanted = keep(enough.groupBy("doc", "k").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("wanted")))
     # the shingles of a document are hashed once, then its windows are cut

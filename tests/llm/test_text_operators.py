@@ -305,6 +305,25 @@ def test_decontamination(spark, edges, nothing):
     assert decontaminate.drop_contaminated(edges, benchmark).count() == len(EDGES)
 
 
+def test_decontamination_of_parts_in_another_order(spark):
+    rng = random.Random(9)
+    words = [f"t{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.sample(words, n))) for i, n in enumerate([60, 60, 45, 150])]
+    docs = []
+    for d in range(40):
+        text, copied = [rng.choice(words) for _ in range(120)], items[d % 4][1].split()
+        cut = rng.randrange(1, len(copied)) if d >= 4 else len(copied) // 2
+        copied = copied[cut:] + copied[:cut]
+        for _ in range(d // 20):
+            copied[rng.randrange(len(copied))] = "new"
+        place = (0, 60, 120)[d % 3]
+        docs.append((d, " ".join(text[:place] + copied + text[place:])))
+    parts = items[3][1].split()
+    docs.append((40, " ".join(parts[100:] + parts[50:100] + parts[:50] + words[:99])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == best_windows(docs, items) and {(d, d % 4) for d in range(4)} <= set(got)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
