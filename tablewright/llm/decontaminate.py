@@ -11,9 +11,9 @@ is within the radius is verified by the exact weighted similarity, the sum of th
 the sum of the higher ones.
 
 A similarity of 0.8 of five-word shingles lies ten bits apart on average, with a deviation of three; the radius of 23
-leaves out about one such pair in a million. Null and empty texts and items match nothing. Rows with equal ids
-are matched each and reported as one. Other columns are ignored; empty tables give no rows. Only DataFrame functions
-are used.
+leaves out about one such pair in a million. Null and empty texts and items match nothing. Every row of either table has
+a key of its own: rows with equal ids, or without id, are matched each and reported as one, and only the rows
+themselves are dropped. Other columns are ignored; empty tables give no rows. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -90,17 +90,20 @@ def _dense_starts(places: Column, m: Column, need: Column) -> Column:
     return F.transform(kept, at)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, item, similarity, first_word, n_words): the best window of every document that has an item, and item."""
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    given = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a number of their own, written once so that it stays the same."""
+    return keep(rows.withColumn(key, F.monotonically_increasing_id()))
+
+
+def _best(texts: DataFrame, benchmark: DataFrame, similarity: float, item_col: str, text_col: str) -> DataFrame | None:
+    """(doc, item, top): the best window of every (doc, text) and row of the benchmark; nothing if that holds no words."""
+    given = benchmark.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     given = given.withColumn("k", F.least(F.size("words"), F.lit(SHINGLE)))
     sized = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in range(1, SHINGLE + 1)))
-    items = keep(given.select("item_id", "k", sized.alias("hashes")).withColumn("m", F.size("hashes")).withColumn("fp", simhash(F.col("hashes"))))
+    items = _keyed(given.select("item", "k", sized.alias("hashes")).withColumn("m", F.size("hashes")).withColumn("fp", simhash(F.col("hashes"))), "item_id")
     sizes = sorted(row.k for row in items.select("k").distinct().collect())  # 1 to 5
     if not sizes:
-        nothing = docs.where(F.lit(False)).select(F.col(id_col))
-        return nothing.crossJoin(benchmark.where(F.lit(False)).select(item_col)).selectExpr("*", "0D AS similarity", "0 AS first_word", "0 AS n_words")
+        return None
     at = items.select("item_id", "k", "m", F.posexplode("hashes").alias("offset", "h"))
     spread = None
     for k in sizes:
@@ -126,13 +129,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     common = own.join(theirs, ["item_id", "h"]).groupBy(*window, "w").agg(F.sum(F.least("n", "c")).alias("both"))
     found = common.withColumn("similarity", F.col("both") / (F.col("w") + F.col("m") - F.col("both"))).where(F.col("similarity") >= similarity - 1e-12)
     best = found.groupBy("doc", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), F.col("m") + F.col("k") - 1)).alias("top"))
+    return best.join(items.select("item_id", "item"), "item_id").select("doc", "item", "top")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(id, item, similarity, first_word, n_words): the best window of every document that has an item, and item."""
+    rows = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "doc")
+    best = _best(rows.select("doc", "text"), benchmark, similarity, item_col, text_col)
+    if best is None:
+        nothing = docs.where(F.lit(False)).select(F.col(id_col))
+        return nothing.crossJoin(benchmark.where(F.lit(False)).select(item_col)).selectExpr("*", "0D AS similarity", "0 AS first_word", "0 AS n_words")
+    best = best.join(rows.select("doc", "id"), "doc").groupBy("id", "item").agg(F.max("top").alias("top"))
     return best.select(
-        F.col("doc").alias(id_col), F.col("item_id").alias(item_col), F.round("top.similarity", 6).alias("similarity"),
+        F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("top.similarity", 6).alias("similarity"),
         (-F.col("top.col2")).alias("first_word"), F.col("top.col3").alias("n_words"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark; same columns."""
-    found = keep(matches(docs, benchmark, similarity, id_col).select(id_col).distinct())
-    return docs.join(found, id_col, "left_anti")
+    """The rows of ``docs`` that hold no item of the benchmark, whatever their ids; same columns."""
+    rows = _keyed(docs, "_row")
+    best = _best(rows.select(F.col("_row").alias("doc"), "text"), benchmark, similarity, "item_id", "text")
+    if best is None:
+        return rows.drop("_row")
+    found = keep(best.select(F.col("doc").alias("_row")).distinct())
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)

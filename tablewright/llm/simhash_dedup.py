@@ -232,9 +232,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group, the row with the smallest id stays.
 
-    Rows that share that id count as copies of each other, and one of them stays. Rows without id stay.
+    Every row has a key of its own, so rows with equal ids and unlike texts are told apart. Rows without id come after the
+    others, and of equal ids any one stays.
     """
-    kept = keep(groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")))
-    once = docs.join(kept.where("_n = 1").select(id_col), id_col, "left_semi")
-    often = docs.join(kept.where("_n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(often).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    grouped = groups(rows.select("_row", text_col), "_row", text_col).select("_row", "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), "_row")
+    first = grouped.join(rows.select("_row", id_col), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(keep(first.select("_row")), "_row", "left_semi").select(*docs.columns)

@@ -324,6 +324,19 @@ def test_decontamination_of_parts_in_another_order(spark):
     assert got == best_windows(docs, items) and {(d, d % 4) for d in range(4)} <= set(got)
 
 
+def test_rows_without_id_and_with_equal_ids(spark):
+    rng = random.Random(10)
+    passage, clean, other, second = (" ".join(rng.choice([f"{c}{i}" for i in range(300)]) for _ in range(60)) for c in "pcox")
+    docs = spark.createDataFrame([(None, passage), (None, clean), (1, passage), (1, other), (2, "a " + second), (2, clean + " end")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passage), (7, second), (7, "q1 q2 q3 q4 q5 q6 q7 q8")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.matches(docs, benchmark).collect()} == {(None, None, 1.0), (1, None, 1.0), (2, 7, 1.0)}
+    kept = [tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect()]
+    assert Counter(kept) == Counter([(None, clean), (1, other), (2, clean + " end")])
+    rows = [(1, passage), (1, other), (2, passage), (2, second), (None, clean), (None, clean), (None, other)]
+    kept = simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, passage), (1, other), (2, second), (None, clean)])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
