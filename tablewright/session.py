@@ -38,12 +38,17 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete ``folder`` when the program ends."""
+    atexit.register(_remove, spark, folder)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there; the files go when the program ends."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    atexit.register(_remove, spark, folder)
+    remove_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
