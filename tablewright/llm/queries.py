@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, chat_format, decontaminate, license_scan, pseudonyms, quality_bayes, repetition, sharding, simhash_dedup, url_filter
+from tablewright.llm import alignment, byte_bpe, chat_format, decontaminate, lexical, license_scan, pseudonyms, quality_bayes, repetition, sharding, simhash_dedup, token_files, url_filter
 from tablewright.llm.batches import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Stands in for the secret that a deployment passes to ``pseudonymise``.
 KEY = b"tablewright example key"
 
@@ -77,11 +79,23 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summary(_table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECE_MODEL)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), BYTE_LEVEL)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_license_scan, op3_shards, op4_chat_format, op5_quality_bayes, op6_decontaminate, op7_simhash_dedup,
-        op8_byte_bpe, op9_pseudonyms, op10_repetition,
+        op8_byte_bpe, op9_pseudonyms, op10_repetition, op11_lexical_search, op12_token_alignment, op13_token_files,
     )
 }
 
@@ -130,5 +144,22 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(formatted))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w)::BIGINT AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN wt USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """,
 }
