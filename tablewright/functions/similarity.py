@@ -94,44 +94,3 @@ def within_length(a: Column, b: Column, threshold: int) -> Column:
     """Whether the lengths alone leave room for a similarity of ``threshold``; a test before the costly one."""
     shorter = F.least(F.length(a), F.length(b))
     return shorter * 200 >= (F.length(a) + F.length(b)) * threshold
-
-
-def rare_pairs(text: Column, threshold: int) -> Column:
-    """Keys of a text such that any two texts of at least the given similarity share one.
-
-    A text of length n needs ``need`` common characters with any partner that is similar enough. Its
-    characters, numbered by occurrence and put in one fixed order, rare letters first, are cut to the first
-    ``n - need + 2``; two similar texts then share two of them, so every pair of these is a key.
-    Single characters get an own key, as no pair exists for them.
-    """
-    share = threshold / (200.0 - threshold)
-    size = F.length(text)
-    need = F.ceil(size * F.lit(share) - F.lit(1e-9)).cast("int")
-    letters = F.array_distinct(F.split(text, ""))
-    numbered = F.flatten(
-        F.transform(
-            letters,
-            lambda ch: F.transform(
-                F.sequence(F.lit(1), size - F.length(F.replace(text, ch, F.lit("")))),
-                lambda i: F.struct(_rarity(ch).alias("r"), ch.alias("c"), i.alias("i")),
-            ),
-        )
-    )
-    first = F.slice(F.array_sort(numbered), F.lit(1), size - need + 2)
-    marks = F.transform(first, lambda s: F.concat(s["c"], s["i"].cast("string")))
-    pairs = F.flatten(
-        F.transform(
-            marks,
-            lambda x, k: F.transform(F.slice(marks, k + 2, F.size(marks)), lambda y: F.concat(x, F.lit(" "), y)),
-        )
-    )
-    return F.when(size <= 1, F.array(text)).otherwise(pairs)
-
-
-# Letters from common to rare; the order only steers how selective the keys are.
-_COMMON_FIRST = " eariotnslcudpmhgbfywkvxzjq"
-
-
-def _rarity(ch: Column) -> Column:
-    place = F.instr(F.lit(_COMMON_FIRST), ch)
-    return F.when(place == 0, F.lit(-100)).otherwise(-place)

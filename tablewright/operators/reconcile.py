@@ -5,23 +5,23 @@ still free and refers to the invoice; without one, the first free payment of a s
 taken. Three facts turn this sequence into joins:
 
 * Of all invoices a payment refers to, only the first matters: it leaves none behind for the later ones.
-* A payment with a reference is free for similar names before its own invoice only.
-* Invoices whose names and payments are not connected cannot take payments from each other, so such parts are
-  worked off side by side; within a large part all invoices that depend on no earlier one are settled at once.
+* A payment with a reference is free for similar names before its own invoice only, its deadline.
+* Invoices of one name and amount can take the same payments, so classes are compared and settled, not rows. Classes
+  with the same counterparts count as one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import strict_float
-from tablewright.functions.similarity import rare_pairs, ratio, token_sort_ratio, within_length
+from tablewright.functions.similarity import token_sort_ratio
 from tablewright.functions.text import clean_reference, sort_tokens, strip
 from tablewright.operators.columns import ROW, data_columns
+from tablewright.operators.simjoin import contained, similar_texts
 from tablewright.session import cut_lineage
 
 # Names of the columns looked for, in order of preference, and the place taken otherwise.
@@ -33,7 +33,7 @@ INVOICE_AMOUNT = (
 PAYMENT_REF = (("payment_ref", "invoice_ref", "invoice_no", "invoice", "inv_no", "ref", "order_id", "orderid", "id"), 0)
 PAID_AMOUNT = (("paid_amount", "amount", "payment_amount", "revenue", "total", "net_amount", "val"), 2)
 # Limits of the match tests.
-SIMILAR_AT, CONFLICT_BELOW, AMOUNT_GAP, AMOUNT_SHARE, CONTAINED_FROM = 80, 60, 10.0, 0.05, 4
+SIMILAR_AT, CONFLICT_BELOW, AMOUNT_GAP, AMOUNT_SHARE = 80, 60, 10.0, 0.05
 
 
 def find_column(columns: Sequence[str], wanted: tuple[tuple[str, ...], int]) -> str:
@@ -66,28 +66,6 @@ def payments_view(payments: DataFrame) -> DataFrame:
     return _side(payments, PAYMENT_REF, PAID_AMOUNT, "p")
 
 
-def contained(small: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs ``(small, large)`` of distinct texts, the first a part of the second and four characters or more.
-
-    The long texts emit their parts of the lengths that occur among the short ones, so the search is one
-    equi-join that grows with the text, without candidates to reject.
-    """
-    short = small.where(F.length("small") >= CONTAINED_FROM)
-    lengths = [row[0] for row in short.select(F.length("small")).distinct().collect()]  # as many as text lengths
-    if not lengths:
-        return large.limit(0).select("large", F.lit("").alias("small"))
-    size = F.length("large")
-
-    def parts(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        cut = F.transform(starts, lambda at: F.substring("large", at, F.lit(n)))
-        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    all_parts = F.flatten(F.array(*[parts(n) for n in sorted(lengths)]))
-    emitted = large.select("large", F.explode(F.array_distinct(all_parts)).alias("small"))
-    return emitted.join(short, "small")
-
-
 def first_referred(inv: DataFrame, pay: DataFrame) -> DataFrame:
     """``(p_key, i)``: the first invoice each payment reference points to, by equality or containment."""
     numbers = inv.where(F.col("i_key") != "").groupBy("i_key").agg(F.min("i").alias("i"))
@@ -104,15 +82,6 @@ def first_referred(inv: DataFrame, pay: DataFrame) -> DataFrame:
     return equal.unionByName(found).groupBy("p_key").agg(F.min("i").alias("i"))
 
 
-def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: int = SIMILAR_AT) -> DataFrame:
-    """Pairs ``(left, right)`` of distinct names at least that similar; candidates share a key of rare letters."""
-    a = left.where(F.col("left") != "").select("left", F.explode(rare_pairs(F.col("left"), threshold)).alias("_key"))
-    b = right.where(F.col("right") != "").select("right", F.explode(rare_pairs(F.col("right"), threshold)).alias("_key"))
-    close = within_length(F.col("left"), F.col("right"), threshold)
-    pairs = a.join(b, "_key").where(close).select("left", "right").distinct()
-    return pairs.where(ratio(F.col("left"), F.col("right")) >= threshold)
-
-
 def _width(amount: Column) -> Column:
     """How far a payment may be off."""
     return F.when(amount > 0, F.greatest(F.lit(AMOUNT_GAP), amount * AMOUNT_SHARE)).otherwise(F.lit(AMOUNT_GAP))
@@ -127,132 +96,145 @@ def _bucket(amount: Column, level: Column) -> Column:
     return F.floor(amount / (F.pow(F.lit(2.0), level) * AMOUNT_GAP))
 
 
-def similar_pairs(inv: DataFrame, pay: DataFrame) -> DataFrame:
-    """``(i, p)`` of a similar name and a close amount, the payment not reserved for this or an earlier invoice.
+def alike_classes(inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """``(ic, pc)``: classes of a similar name and a close amount.
 
-    Names are compared once per distinct pair; amounts meet in buckets as wide as the allowed gap.
+    Invoices of one name and amount are a class, numbered by its first invoice, and so are payments. Names are compared
+    once per distinct pair; amounts meet in buckets as wide as the allowed gap.
     """
-    names = similar_name_pairs(inv.select(F.col("i_name").alias("left")).distinct(), pay.select(F.col("p_name").alias("right")).distinct())
+    asked = inv.groupBy("i_name", "i_amt").agg(F.min("i").alias("ic"))
+    offered = pay.groupBy("p_name", "p_amt").agg(F.min("p").alias("pc"))
+    names = similar_texts(asked.select(F.col("i_name").alias("left")).distinct(), offered.select(F.col("p_name").alias("right")).distinct(), SIMILAR_AT)
     amount, paid = F.col("i_amt"), F.col("p_amt")
     low, high = _bucket(amount - _width(amount), F.col("_level")), _bucket(amount + _width(amount), F.col("_level"))
-    asked = inv.join(names, inv["i_name"] == names["left"]).withColumn("_level", _level(amount))
+    asked = asked.join(names, asked["i_name"] == names["left"]).withColumn("_level", _level(amount))
     asked = asked.withColumn("_bucket", F.explode(F.sequence(low, high)))
     lowest, highest = _level(F.least(paid / (1 + AMOUNT_SHARE), paid - AMOUNT_GAP)), _level(F.greatest(paid / (1 - AMOUNT_SHARE), paid + AMOUNT_GAP))
-    offered = pay.withColumn("_level", F.explode(F.sequence(lowest, F.greatest(lowest, highest))))
+    offered = offered.withColumn("_level", F.explode(F.sequence(lowest, F.greatest(lowest, highest))))
     offered = offered.withColumn("_bucket", _bucket(paid, F.col("_level"))).withColumnRenamed("p_name", "right")
     gap = F.abs(amount - paid)
     close = (gap <= AMOUNT_GAP) | ((amount > 0) & (gap / F.when(amount > 0, amount) <= AMOUNT_SHARE))
+    return asked.join(offered, ["right", "_level", "_bucket"]).where(close).select("ic", "pc").distinct()
+
+
+def _in_class(rows: DataFrame, name: str, amount: str, row: str, number: str) -> DataFrame:
+    """``rows`` with the number of their class."""
+    return rows.join(rows.groupBy(name, amount).agg(F.min(row).alias(number)), [name, amount])
+
+
+def similar_pairs(inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """``(i, p)`` of a similar name and a close amount, the payment not reserved for this or an earlier invoice.
+
+    This lists every pair; the ledger goes by ``alike_classes``.
+    """
+    asked = _in_class(inv, "i_name", "i_amt", "i", "ic").select("i", "ic")
+    offered = _in_class(pay, "p_name", "p_amt", "p", "pc").select("p", "pc", "reserved")
     free = F.col("reserved").isNull() | (F.col("reserved") > F.col("i"))
-    return asked.join(offered, ["right", "_level", "_bucket"]).where(close & free).select("i", "p").distinct()
+    return alike_classes(inv, pay).join(asked, "ic").join(offered, "pc").where(free).select("i", "p")
+
 
+def _twins(edges: DataFrame, side: str, other: str) -> DataFrame:
+    """``(side, twin)``: classes that meet the same classes of the other side, numbered by the least of them."""
+    met = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(other)).alias("x"), F.bit_xor(F.xxhash64(other, F.lit(other))).alias("y"))
+    signed = edges.groupBy(side).agg(met.alias("met"))
+    return signed.join(signed.groupBy("met").agg(F.min(side).alias("twin")), "met").select(side, "twin")
 
-# Up to this many rows one task works through a connected part in order; larger parts are settled in rounds.
-ONE_TASK_ROWS = 200_000
 
+def ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with their ``rank`` (from 1) by ``order`` among those of equal ``key``, however many these are.
 
-def _union_find(batches):
-    frame = pd.concat([pd.DataFrame({"a": [], "b": []}), *batches], ignore_index=True)
-    root: dict[str, str] = {}
+    Rows are sorted over all tasks; a task ranks its own, and the numbers of rows before, one per key and task, are added.
+    """
+    sorted_ = cut_lineage(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
+    counts = sorted_.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).drop("_n")
+    return sorted_.withColumn("_inside", inside).join(before, [key, "_part"]).withColumn("rank", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_part")
 
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for a, b in zip(frame["a"], frame["b"]):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    names = list(root)
-    yield pd.DataFrame({"name": names, "part": [find(x) for x in names]}, dtype=object)
+#: Stands for no deadline.
+NEVER = (1 << 63) - 1
 
 
-def connected(edges: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
-    """``(name, part)``: the smallest name each name of the edges ``(a, b)`` is connected with."""
-    edges = cut_lineage(edges.distinct())
-    if edges.limit(one_task + 1).count() <= one_task:
-        return cut_lineage(edges.coalesce(1).mapInPandas(_union_find, "name string, part string"))
-    both = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("_low")).select(F.col("a").alias("name"), F.least("a", "_low").alias("part"))
-    while True:
-        labels = cut_lineage(labels)
-        near = both.join(labels, both["b"] == labels["name"]).groupBy("a").agg(F.min("part").alias("near"))
-        far = labels.select(F.col("name").alias("part"), F.col("part").alias("far"))
-        step = labels.join(near, labels["name"] == near["a"]).join(far, "part", "left")
-        lower = step.select("name", F.least("part", "near", "far").alias("part"), (F.least("near", "far") < F.col("part")).alias("_moved"))
-        lower = cut_lineage(lower)
-        if lower.where("_moved").isEmpty():
-            return lower.drop("_moved")
-        labels = lower.drop("_moved")
-
-
-def _serve(frame: pd.DataFrame) -> pd.DataFrame:
-    """Invoices of one part in order: their own free payments, or else the first similar one."""
-    frame = frame.sort_values(["i", "p"])
-    used, out = set(), []
-    for i, rows in frame.groupby("i", sort=False):
-        own = [p for p, mine in zip(rows["p"], rows["own"]) if mine and p not in used]
-        found = own or [p for p, mine in zip(rows["p"], rows["own"]) if not mine and p not in used][:1]
-        used.update(found)
-        out.extend((i, p) for p in found)
-    return pd.DataFrame(out, columns=["i", "p"], dtype="int64")
-
-
-def _serve_in_rounds(claims: DataFrame) -> DataFrame:
-    """The same for parts of any size, all invoices that depend on no earlier one at a time."""
-    left, taken = cut_lineage(claims.select("i", "p", "own")), None
-    while not left.isEmpty():
-        first = left.groupBy("p").agg(F.min("i").alias("_first"))
-        asked = left.join(first, "p").withColumn("_mine", F.col("_first") == F.col("i"))
-        state = asked.groupBy("i").agg(
-            F.bool_or("own").alias("_owns"),
-            F.bool_and(~F.col("own") | F.col("_mine")).alias("_sure"),
-            F.min_by(F.struct("p", "_mine"), F.when(~F.col("own"), F.col("p"))).alias("_best"),
-        )
-        ready = state.where(F.when(F.col("_owns"), F.col("_sure")).otherwise(F.col("_best._mine")))
-        now = left.join(ready, "i").where(F.when(F.col("_owns"), F.col("own")).otherwise(F.col("p") == F.col("_best.p")))
-        now = cut_lineage(now.select("i", "p"))
-        taken = now if taken is None else taken.unionByName(now)
-        left = cut_lineage(left.join(now.select("i").distinct(), "i", "left_anti").join(now.select("p"), "p", "left_anti"))
-    return taken if taken is not None else left.select("i", "p")
-
-
-def serve_in_order(claims: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
-    """``(i, p)`` used, from claims ``(part, i, p, own)``; parts share no payment."""
-    sizes = claims.groupBy("part").agg(F.count("*").alias("_n"))
-    large = cut_lineage(sizes.where(F.col("_n") > one_task).select("part"))
-    small = claims.join(large, "part", "left_anti").groupBy("part").applyInPandas(_serve, "i bigint, p bigint")
-    if large.isEmpty():
-        return cut_lineage(small)
-    return cut_lineage(small).unionByName(_serve_in_rounds(claims.join(large, "part", "left_semi")))
-
-
-def match_payments(inv: DataFrame, pay: DataFrame, one_task: int = ONE_TASK_ROWS) -> DataFrame:
-    """``(i, p)``: the payments each invoice uses.
-
-    Names that are alike, and the name on a contested payment with that of its own invoice, form parts that
-    cannot influence each other.
+def _seekers(asked: DataFrame, offered: DataFrame, edges: DataFrame) -> DataFrame:
+    """The invoices that may ever look for a payment of a similar name; all others keep a payment of their own for sure.
+
+    An invoice without own payments looks for one. One whose own payments can all go to earlier seekers may become one.
     """
+    asked = cut_lineage(asked.withColumn("seeks", F.col("left") == 0))
+    count = -1
+    while (now := asked.where("seeks").count()) != count:
+        count = now
+        first = edges.join(asked.where("seeks").groupBy("a").agg(F.min("i").alias("i")), "a").groupBy("b").agg(F.min("i").alias("first"))
+        lost = offered.join(first, "b").where(F.col("first") < F.col("deadline")).groupBy(F.col("deadline").alias("i")).agg(F.count("*").alias("lost"))
+        asked = cut_lineage(asked.drop("lost").join(lost, "i", "left").withColumn("seeks", F.col("left") == F.coalesce("lost", F.lit(0))))
+    return asked.where("seeks").select("i", "a", "left")
+
+
+def _two_least(edges: DataFrame, side: str, other: str, value: str) -> DataFrame:
+    """Per ``side``: the ``other`` class with the least ``value``, and the least value of the rest."""
+    best = edges.groupBy(side).agg(F.min(F.struct(value, other)).alias("_m")).select(side, F.col(f"_m.{other}").alias("_best"))
+    rest = F.min(F.when(F.col(other) != F.col("_best"), F.col(value)))
+    return edges.join(best, side).groupBy(side, "_best").agg(F.coalesce(rest, F.lit(NEVER)).alias(f"{side}_rest")).withColumnRenamed("_best", other)
+
+
+def fallback_matches(asked: DataFrame, offered: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(i, p)``: payments that invoices without an own one take by name and amount.
+
+    ``asked``: (i, a, left), invoices with their class and the number of own payments still there; ``offered``: (p, b,
+    deadline), payments with their class and the invoice they are own to; ``edges``: (a, b). The least free payment before
+    its deadline goes to the least open invoice. In a round, two classes that both come first for each other are
+    settled at once: the k-th invoice takes the k-th payment, as long as no other class comes first on either side,
+    the invoice has lost its own payments and the payment its deadline still ahead.
+    """
+    asked, offered, taken = cut_lineage(_seekers(asked, offered, edges)), cut_lineage(offered), None
+    while True:
+        least = asked.groupBy("a").agg(F.min("i").alias("least_i"))
+        open_ = cut_lineage(edges.join(least, "a").join(offered.groupBy("b").agg(F.min("p").alias("least_p")), "b"))
+        if open_.isEmpty():
+            return taken if taken is not None else asked.join(offered, F.lit(False)).select("i", "p")
+        # a payment that no earlier invoice looks for goes to its own invoice, which then looks no further
+        met = offered.join(open_.groupBy("b").agg(F.min("least_i").alias("first")), "b")
+        met = cut_lineage(met.withColumn("kept", F.col("first") >= F.col("deadline")))
+        served = met.where("kept").select(F.col("deadline").alias("i")).distinct()
+        asked, offered = asked.join(served, "i", "left_anti"), met.where("not kept").select("p", "b", "deadline")
+        first_b, first_a = _two_least(open_, "a", "b", "least_p"), _two_least(open_, "b", "a", "least_i")
+        pairs = cut_lineage(first_b.join(first_a, ["a", "b"]))
+        takers = ranked(asked.join(pairs, "a"), "a", "i")
+        gifts = ranked(offered.join(pairs.select("b"), "b", "left_semi"), "b", "p")
+        both = takers.join(gifts, ["b", "rank"])
+        fits = (F.col("left") == 0) & (F.col("i") < F.col("b_rest")) & (F.col("p") < F.col("a_rest")) & (F.col("i") < F.col("deadline"))
+        both = cut_lineage(both.select("a", "rank", "i", "p", "deadline", fits.alias("fits")))
+        stop = both.where("not fits").groupBy("a").agg(F.min("rank").alias("stop"))
+        now = cut_lineage(both.join(stop, "a", "left").where(F.col("rank") < F.coalesce("stop", F.lit(NEVER))).select("i", "p", "deadline"))
+        taken = now.select("i", "p") if taken is None else taken.unionByName(now.select("i", "p"))
+        lost = now.groupBy(F.col("deadline").alias("i")).agg(F.count("*").alias("lost"))
+        asked = asked.join(now.select("i"), "i", "left_anti").join(lost, "i", "left")
+        asked = cut_lineage(asked.select("i", "a", (F.col("left") - F.coalesce("lost", F.lit(0))).alias("left")))
+        offered = cut_lineage(offered.join(now.select("p"), "p", "left_anti"))
+
+
+def match_payments(inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """``(i, p)``: the payments each invoice uses."""
     referred = first_referred(inv, pay).withColumnRenamed("i", "reserved")
     # Payments without reference refer to nothing, however many there are.
     blank = F.coalesce("p_key", F.lit("")) == ""
     unreferred = pay.where(blank).withColumn("reserved", F.lit(None).cast("bigint"))
     pay = cut_lineage(pay.where(~blank).join(referred, "p_key", "left").unionByName(unreferred))
     inv = cut_lineage(inv)
-    owned = pay.where(F.col("reserved").isNotNull()).select(F.col("reserved").alias("i"), "p", "p_name")
-    pairs = cut_lineage(similar_pairs(inv, pay).join(inv.select("i", "i_name"), "i").join(pay.select("p", "p_name"), "p"))
-    contested = owned.join(pairs.select("p").distinct(), "p", "left_semi")
-    involved = pairs.select("i").unionByName(contested.select("i")).distinct()
-    named = owned.join(involved, "i", "left_semi").join(inv.select("i", "i_name"), "i")
-    alike = pairs.select(F.col("i_name").alias("a"), F.col("p_name").alias("b"))
-    tied = contested.join(inv.select("i", "i_name"), "i").select(F.col("i_name").alias("a"), F.col("p_name").alias("b"))
-    parts = connected(alike.unionByName(tied), one_task)
-    claims = pairs.select("i_name", "i", "p", F.lit(False).alias("own")).unionByName(
-        named.select("i_name", "i", "p", F.lit(True).alias("own"))
-    )
-    claims = cut_lineage(claims.join(parts.withColumnRenamed("name", "i_name"), "i_name").drop("i_name"))
-    alone = owned.join(involved, "i", "left_anti").select("i", "p")
-    return alone.unionByName(serve_in_order(claims, one_task))
+    own = pay.where(F.col("reserved").isNotNull()).select(F.col("reserved").alias("i"), "p")
+    edges = cut_lineage(alike_classes(inv, pay))
+    of_ic = cut_lineage(_twins(edges, "ic", "pc").withColumnRenamed("twin", "a"))
+    edges = edges.join(of_ic, "ic").select("a", "pc").distinct()
+    of_pc = cut_lineage(_twins(edges, "pc", "a").withColumnRenamed("twin", "b"))
+    edges = cut_lineage(edges.join(of_pc, "pc").select("a", "b").distinct())
+    asked = _in_class(inv, "i_name", "i_amt", "i", "ic").join(of_ic, "ic").join(own.groupBy("i").agg(F.count("*").alias("n")), "i", "left")
+    offered = _in_class(pay, "p_name", "p_amt", "p", "pc").join(of_pc, "pc")
+    found = fallback_matches(
+        asked.select("i", "a", F.coalesce("n", F.lit(0)).alias("left")),
+        offered.select("p", "b", F.coalesce("reserved", F.lit(NEVER)).alias("deadline")), edges,
+    )
+    return found.unionByName(own.join(found.select("p"), "p", "left_anti").select("i", "p"))
 
 
 def _money(c: Column) -> Column:
