@@ -4,7 +4,9 @@ A is a byte-level tokenizer file, B a SentencePiece model; both encode a space a
 byte offsets at which a token of both ends: in an interval of tokens between two such cuts, the end of the middle A token
 is looked up among B's ends by bisection, then the next B end among A's and so on, first upwards, then downwards, until
 both agree; the interval is divided there and both halves go on. An interval without a cut inside is a leaf group. All
-intervals of a level, of many documents, are worked on together.
+intervals of a level are worked on together. Where no piece of B holds a space after something else, a lone space between
+two words is a cut of both, so documents fall apart there and a word with its signs is encoded and divided once a
+task; its groups and links are added up over the documents.
 
 Links are the pairs of overlapping A and B tokens of a group. A chunk of documents (``CHUNK_BYTES`` of text; a longer
 document is a chunk of its own) lists its distinct pairs once, with the documents that hold them; these lists are summed
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.batches import pieces, small_batches
-from tablewright.llm.runs import RunEncoder
+from tablewright.llm.runs import shared_encoder
 from tablewright.session import keep
 
 CHUNK_BYTES = 1 << 24
-#: Characters from which on the next safe place ends a segment for B, whose library holds a segment whole.
-SEGMENT_CHARS = 1 << 18
+#: Parts kept with their groups, and bytes of parts that are aligned at once.
+CACHE_PARTS, AT_ONCE = 500_000, 1 << 20
 #: A lone space between two words: B puts a space before each segment, and no piece holds a space after something else.
 LONE_SPACE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 
@@ -102,7 +105,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
 
-        self.a = RunEncoder(a_path)
+        self.a = shared_encoder(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.b.IdToPiece(i) for i in range(self.b.GetPieceSize())]
         spelled = [bytes([int(n[3:5], 16)]) if self.b.IsByte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
@@ -112,30 +115,75 @@ class Aligner:
         n_a = len(self.a_bytes[1]) - 1
         self.words = [f"{i}{end}" for i in range(n_a) for end in ",|"] + [f"{i}{end}" for i in range(self.b_size) for end in (",", ";", "")]
         self.b_first = 2 * n_a
+        self.pairs = n_a * self.b_size  # codes of pairs are below
+        self._forget()
 
-    def _segments(self, text: str) -> list[str]:
-        out, start = [], 0
-        while self.segments_apart and len(text) - start > SEGMENT_CHARS and (at := LONE_SPACE.search(text, start + SEGMENT_CHARS)):
-            out.append(text[start : at.start()])
-            start = at.end()
-        return [*out, text[start:]]
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.spelled: list[str] = []
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.valid = np.zeros(0, bool)
+        self.codes, self.code_stop = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _parts(self, text: str) -> list[str]:
+        """What lies between lone spaces."""
+        return LONE_SPACE.split(text) if self.segments_apart else [text]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """The ids of a space and each text by A and by B, as little-endian 32-bit integers."""
-        ids_a = self.a.encode([" " + text for text in texts])
-        segments = [self._segments(text) for text in texts]
-        encoded = iter(self.b.encode([s for some in segments for s in some], num_threads=1))
-        return ids_a, [b"".join(np.array(next(encoded), "<u4").tobytes() for _ in some) for some in segments]
+        return self.a.encode([" " + text for text in texts]), [array("I", ids).tobytes() for ids in self.b.encode(texts, num_threads=1)]
+
+    def _learn(self, parts: list[str]) -> None:
+        sizes, valid, spelled, stop, codes = self._divided(parts)
+        self.place.update(zip(parts, range(len(self.spelled), len(self.spelled) + len(parts))))
+        self.spelled += spelled
+        self.sizes, self.valid, self.codes = np.r_[self.sizes, sizes], np.r_[self.valid, valid], np.r_[self.codes, codes]
+        self.code_stop = np.r_[self.code_stop, stop + self.code_stop[-1]]
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups_sha256) of each text; of its distinct pairs: text, code, occurrences."""
+        if len(self.place) > CACHE_PARTS:
+            self._forget()
+        parts = [self._parts(text) if text else [] for text in texts]
+        known = self.place
+        new, held = [], 0
+        for part in dict.fromkeys(p for some in parts for p in some if p not in known):
+            new.append(part)
+            held += len(part)
+            if held > AT_ONCE:
+                self._learn(new)
+                new, held = [], 0
+        if new:
+            self._learn(new)
+        at = np.array([known[p] for some in parts for p in some], np.int64)
+        counts = np.array([len(some) for some in parts], np.int64)
+        text = np.repeat(np.arange(len(texts)), counts)
+        whole = (np.bincount(text, ~self.valid[at], minlength=len(texts)) == 0) & (counts > 0)
+        kept = whole[text]
+        text, at = text[kept], at[kept]
+        sums = np.zeros((len(texts), 4), np.int64)
+        np.add.at(sums, text, self.sizes[at])
+        stats: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
+        stops = np.searchsorted(text, np.arange(len(texts)), side="right").tolist()
+        places = at.tolist()
+        for i in np.flatnonzero(whole).tolist():
+            spelled = ";".join([self.spelled[k] for k in places[stops[i - 1] if i else 0 : stops[i]]])
+            stats[i] = (*sums[i].tolist(), hashlib.sha256(spelled.encode()).hexdigest())
+        count = self.code_stop[at + 1] - self.code_stop[at]
+        ends = np.cumsum(count)
+        codes = self.codes[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - self.code_stop[at], count)]
+        keys, occurrences = np.unique(np.repeat(text, count) * self.pairs + codes, return_counts=True)
+        return stats, keys // self.pairs, keys % self.pairs, occurrences
+
+    def _divided(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of each text: (n_a, n_b, n_groups, n_links), whether both spell it, its groups in writing; where the codes of its links stop, the codes."""
         ids_a, ids_b = self.encode(texts)
         whole = [(" " + text).encode() for text in texts]
         a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (ids_a, ids_b))
         a_stop, b_stop = (np.cumsum([len(x) // 4 for x in ids]) for ids in (ids_a, ids_b))
         byte_stop = np.cumsum([len(x) for x in whole])
         text_bytes = np.frombuffer(b"".join(whole), np.uint8)
-        valid = np.array([bool(text) for text in texts], bool)
+        valid = np.ones(len(texts), bool)
         for ids, stop, (flat, offsets) in ((a, a_stop, self.a_bytes), (b, b_stop, self.b_bytes)):
             spelled = _bytes_of(ids, flat, offsets)
             upto = np.r_[0, np.cumsum(offsets[ids + 1] - offsets[ids])][stop]
@@ -152,9 +200,9 @@ class Aligner:
         if len(kept) < len(texts):
             a, b = (np.concatenate([np.zeros(0, np.int64), *(x[s[i - 1] if i else 0 : s[i]] for i in kept)]) for x, s in ((a, a_stop), (b, b_stop)))
             a_stop, b_stop = (np.cumsum(np.diff(s, prepend=0)[kept]) for s in (a_stop, b_stop))
-        stats: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
+        sizes, spelled, stop = np.zeros((len(texts), 4), np.int64), [""] * len(texts), np.zeros(len(texts), np.int64)
         if not len(kept):
-            return stats, *(np.zeros(0, np.int64) for _ in range(3))
+            return sizes, valid, spelled, stop, np.zeros(0, np.int64)
         a_ends, b_ends = (np.cumsum(offsets[ids + 1] - offsets[ids]) for ids, (_, offsets) in ((a, self.a_bytes), (b, self.b_bytes)))
         last_a, last_b = cuts(a_ends, b_ends, a_stop, b_stop)
         group_stop = np.searchsorted(last_a, a_stop - 1) + 1
@@ -171,19 +219,12 @@ class Aligner:
         count = np.searchsorted(b_ends, a_ends) + 1 - first
         ends = np.cumsum(count)
         other = np.arange(ends[-1]) + np.repeat(first - ends + count, count)
-        links = np.diff(ends[a_stop - 1], prepend=0)
-        # the order of the codes is that of (text, pair); no text has more pairs than the vocabularies allow
-        pairs = len(self.a_bytes[1]) * self.b_size
-        keys = np.repeat(np.repeat(np.arange(len(kept)), np.diff(a_stop, prepend=0)) * pairs + a * self.b_size, count) + b[other]
-        keys, occurrences = np.unique(keys, return_counts=True)
+        sizes[kept] = np.stack([np.diff(x, prepend=0) for x in (a_stop, b_stop, group_stop, ends[a_stop - 1])], axis=1)
         start = 0
-        sizes = zip(np.diff(a_stop, prepend=0).tolist(), np.diff(b_stop, prepend=0).tolist(), np.diff(group_stop, prepend=0).tolist(), links.tolist())
-        for i, (n_a, n_b, n_groups, n_links) in zip(kept.tolist(), sizes):
-            stop = start + n_a + n_b
-            spelled = "".join([self.words[k] for k in signs[start:stop].tolist()])
-            stats[i] = (n_a, n_b, n_groups, n_links, hashlib.sha256(spelled.encode()).hexdigest())
-            start = stop
-        return stats, kept[keys // pairs], keys % pairs, occurrences
+        for i, (n_a, n_b) in zip(kept.tolist(), sizes[kept, :2].tolist()):
+            spelled[i] = "".join([self.words[k] for k in signs[start : start + n_a + n_b].tolist()])
+            start += n_a + n_b
+        return sizes, valid, spelled, np.cumsum(sizes[:, 3]), np.repeat(a * self.b_size, count) + b[other]
 
 
 def _chunk(number: int, ids: list[pa.Array], stats: list[tuple], owner: list[np.ndarray], code: list[np.ndarray], count: list[np.ndarray]) -> pa.RecordBatch:

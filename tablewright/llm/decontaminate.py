@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.rowkeys import free_name, with_key
 from tablewright.session import keep
 
 SHINGLE = 5
@@ -146,11 +147,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     )
 
 
+#: Rows that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, whatever their ids; same columns."""
-    rows = _keyed(docs, "_row")
-    best = _best(rows.select(F.col("_row").alias("doc"), "text"), benchmark, similarity, "item_id", "text")
+    key = free_name(docs, "_key")
+    rows = with_key(docs, key)
+    best = _best(rows.select(F.col(key).alias("doc"), "text"), benchmark, similarity, "item_id", "text")
     if best is None:
-        return rows.drop("_row")
-    found = keep(best.select(F.col("doc").alias("_row")).distinct())
-    return rows.join(found, "_row", "left_anti").select(*docs.columns)
+        return rows.drop(key)
+    found = keep(best.select(F.col("doc").alias(key)).distinct())
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    return rows.join(found, key, "left_anti").select(*docs.columns)

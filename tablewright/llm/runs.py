@@ -1,8 +1,9 @@
 """Ids by a tokenizer file of the tokenizers library, each distinct run of a text encoded once.
 
 A byte-level tokenizer with the usual pattern never merges across runs (white space with the word after it), nor from a
-letter to a sign after it, so a text's ids are those of such pieces, one after the other. Files of any other kind
-encode whole texts.
+letter to a sign after it, so a text's ids are those of such pieces, one after the other. A blank behind something
+else than white space starts a piece, so texts are first split at blanks, and what is new between them into pieces. Files of
+any other kind encode whole texts.
 """
 
 from __future__ import annotations
@@ -11,13 +12,26 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
-from tablewright.llm.byte_bpe import CACHE_RUNS, SPACE
+from tablewright.llm.byte_bpe import SPACE
 
 #: Western letters up to an ASCII sign or the end; else runs.
 PIECES = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+#: White space, which no blank that starts a piece may follow.
+WHITE = re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001))))
+#: Pieces, and parts between blanks, that are kept with their ids.
+CACHE = 400_000
+
+
+@lru_cache(2)
+def shared_encoder(path: str) -> RunEncoder:
+    """The encoder of a worker process, which outlives its tasks; what it keeps is bounded and holds words only."""
+    return RunEncoder(path)
+
+
 class RunEncoder:
     """A tokenizer file and the ids of the runs met so far; strings of special tokens are plain text."""
 
@@ -34,6 +48,7 @@ class RunEncoder:
         self.by_runs = bool(byte_level and not form.get("normalizer"))
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.blank: dict[str, bytes] = {}  # ids of a blank and a part
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -42,8 +57,18 @@ class RunEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_runs:
             return self._library(texts)
+        if len(self.blank) > CACHE:
+            self.blank.clear()
+        blank, double = self.blank, [white + " " for white in WHITE]
+        split = [[text] if text.startswith(" ") or any(white in text for white in double) else text.split(" ") for text in texts]
+        if new := list({part for parts in split for part in parts[1:] if part not in blank}):
+            blank.update(zip(new, self._pieces([" " + part for part in new])))
+        heads = self._pieces([parts[0] for parts in split])
+        return [b"".join([head, *[blank[part] for part in parts[1:]]]) for head, parts in zip(heads, split)]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
         found = [PIECES.findall(text) for text in texts]
-        if len(self.known) > CACHE_RUNS:
+        if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
         if new := list({run for runs in found for run in runs if run not in known}):

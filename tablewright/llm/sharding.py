@@ -1,8 +1,10 @@
 """Shards of bounded size by extendible hashing.
 
-A document's key is hashed (60 bits of its MD5). The directory starts with one bucket; a bucket over the byte limit
-splits on the next bit of the hash, the others stay as they are. Sizes are counted for four bits at a time, over the
-documents of buckets that are still too large: hash and size are written once, texts are not shuffled.
+A document's key is hashed (56 bits of its MD5). The directory starts with one bucket; a bucket over the byte limit
+splits on the next bit of the hash, the others stay as they are. Sizes are counted once, for slots a few bits finer than
+the shards will be on average; all splits are made on these sums, and every document is joined with the finished
+directory once. Only what lies in slots that are too large still goes on, written out, to further bits. Hash and size are
+written once, texts are not shuffled.
 
 A document over the limit gets a shard of its own. Rows that share a whole hash (equal keys) can't be told apart by
 bits; if they exceed the limit together they go to numbered overflow pages of their bucket. A null key hashes like the
@@ -11,12 +13,15 @@ word null, a null or empty text has no bytes, an empty table gives no shards, ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import keep
 
 HASH_BITS = 56
+#: Bits by which slots are finer than the average shard, and those of every further step.
 STEP_BITS = 4
 LIMIT_BYTES = 1 << 20
 
@@ -30,9 +35,8 @@ def _prefix(depth: int) -> Column:
     return F.shiftright("hash", HASH_BITS - depth)
 
 
-def _directory(rows: DataFrame, base: int, limit: int) -> DataFrame:
-    """(slot, depth, bucket, shard_bytes) of the slots, ``base`` + ``STEP_BITS`` bits long, of ``rows``; depth is null if too large still."""
-    top = base + STEP_BITS
+def _directory(rows: DataFrame, base: int, top: int, limit: int) -> DataFrame:
+    """(slot, depth, bucket, shard_bytes) of the slots, ``top`` bits long, of ``rows``; depth is null if too large still."""
     slots = rows.groupBy(_prefix(top).alias("slot")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
     levels = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.shiftright("slot", top - d).alias("bucket")) for d in range(base, top + 1))))
     spread = slots.select("slot", "bytes", "n", levels.alias("at")).select("slot", "bytes", "n", "at.depth", "at.bucket")
@@ -65,18 +69,22 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, key_col: str = "doc_id", t
     """(key, bytes, depth, bucket, page, shard_bytes) of every row: its shard is (depth, bucket, page), page 0 but for overflow."""
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     rows = keep(docs.select(F.col(key_col).alias("key"), key_hash(F.col(key_col)).alias("hash"), size.alias("bytes"), F.monotonically_increasing_id().alias("seq")))
-    left, placed = rows, []
-    for base in range(0, HASH_BITS - STEP_BITS + 1, STEP_BITS):
-        directory = keep(_directory(left, base, limit))
-        slot = _prefix(base + STEP_BITS).alias("slot")
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    left, placed, base = rows, [], 0
+    top = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total) / limit))) + STEP_BITS)
+    while True:
+        directory = keep(_directory(left, base, top, limit))
+        slot = _prefix(top).alias("slot")
         found = left.select("*", slot).join(directory.where("depth IS NOT NULL"), "slot")
         placed.append(found.select("key", "bytes", "depth", "bucket", F.lit(0).cast("long").alias("page"), "shard_bytes"))
         full = directory.where("depth IS NULL").select("slot")
         if full.isEmpty():
             break
-        left = left.select("*", slot).join(full, "slot", "left_semi").drop("slot")
-    else:
-        placed.append(_overflow(left, limit))
+        left = keep(left.select("*", slot).join(full, "slot", "left_semi").drop("slot"))
+        if top == HASH_BITS:
+            placed.append(_overflow(left, limit))
+            break
+        base, top = top, min(HASH_BITS, top + STEP_BITS)
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)

@@ -56,6 +56,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         grams = zip(*(words[i:] for i in range(shingle)))
         hashes = [xxhash.xxh64_intdigest(b" ".join(gram), 42) for gram in grams]
+    return bits_of(hashes)
+
+
+def bits_of(hashes: list[int]) -> int:
+    """64 bits, each set if more than half the hashes have it; none for no hashes."""
+    if not hashes:
+        return 0
     count = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 16):
         some = np.array(hashes[start : start + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -140,10 +147,10 @@ def _roots(label: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def links_within(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) that join the rows of equal ``group`` within ``radius`` bits into their components.
+    """Pairs of rows (a, b), within ``radius`` bits each, that join the rows of equal ``group`` into their components.
 
     Rows of a group are adjacent and in Gray order. Only roots are hooked, each to the lowest root it is linked to, and a
-    pair is settled only when both ends have one root.
+    pair is settled only when both ends have one root. Runs that are joined with a row already are passed over whole.
     """
     n = len(fp)
     begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
@@ -159,12 +166,17 @@ def links_within(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tup
     group_no = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, n]))
     work = np.cumsum(uppers[group_no]) if n else np.zeros(0, np.int64)
     label = np.arange(n)
+    joined: list[tuple[np.ndarray, np.ndarray]] = []
     start = 0
     while start < n:
         stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + PAIRS_AT_ONCE // RUN, side="right")))
         row = np.arange(start, stop)
         who, node = _expand(uppers_of_group[group_no[row]], uppers[group_no[row]])
         row = row[who]
+        root = _roots(label, np.arange(n))
+        low, high = np.minimum.reduceat(root, upper), np.maximum.reduceat(root, upper)
+        open_ = (low[node] != root[row]) | (high[node] != root[row])
+        row, node = row[open_], node[open_]
         spent = np.bitwise_count((fp[row] ^ upper_pattern[node]) & upper_mask[node])
         ok = spent <= radius
         row, node, spent = row[ok], node[ok], spent[ok]
@@ -176,46 +188,55 @@ def links_within(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tup
         who, other = _expand(leaf[below], rows[below])
         row = row[who]
         ok = (other > row) & (np.bitwise_count(fp[row] ^ fp[other]) <= radius)
-        a, b = row[ok], other[ok]
+        x, y = row[ok], other[ok]
         while True:
-            a, b = _roots(label, a), _roots(label, b)
+            a, b = _roots(label, x), _roots(label, y)
             left = a != b
             if not left.any():
                 break
+            x, y = x[left], y[left]
             a, b = np.maximum(a[left], b[left]), np.minimum(a[left], b[left])
             np.minimum.at(label, a, b)
+            chosen = np.flatnonzero(label[a] == b)
+            chosen = chosen[np.unique(a[chosen], return_index=True)[1]]
+            joined.append((x[chosen], y[chosen]))
             label[a] = _roots(label, a)
         start = stop
-    while not np.array_equal(label, label[label]):
-        label = label[label]
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
+    if not joined:
+        return label[:0], label[:0]
+    return tuple(np.concatenate(side) for side in zip(*joined))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): edges between distinct fingerprints that connect whatever differs in at most two bits."""
+    nodes = _nodes(prints).withColumn("rank", gray_rank(F.col("fp")))
+    nodes = nodes.repartition("top", "node").sortWithinPartitions("top", "node", "rank").select("top", "node", "fp", F.col("fp").alias("name"))
+    return nodes.mapInArrow(_linker(RADIUS), "a long, b long")
+
+
+def _linker(radius: int):
+    """Edges (a, b), between names, over rows (top, node, fp, name) in the order of the nodes and of Gray ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, node, fp = (np.zeros(0, np.int64) for _ in range(3))
+        top, node, fp, name = (np.zeros(0, np.int64) for _ in range(4))
 
         def found(stop: int) -> pa.RecordBatch:
             group = np.cumsum(np.r_[True, (top[1:stop] != top[: stop - 1]) | (node[1:stop] != node[: stop - 1])]) if stop else top[:0]
-            a, b = links_within(group, fp[:stop].view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+            a, b = links_within(group, fp[:stop].view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-            top, node, fp = (np.r_[old, more] for old, more in zip((top, node, fp), new))
+            new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            top, node, fp, name = (np.r_[old, more] for old, more in zip((top, node, fp, name), new))
             if len(fp):
                 stop = len(fp) - 1
                 while stop and top[stop - 1] == top[-1] and node[stop - 1] == node[-1]:
                     stop -= 1
                 yield found(stop)
-                top, node, fp = top[stop:], node[stop:], fp[stop:]
+                top, node, fp, name = top[stop:], node[stop:], fp[stop:], name[stop:]
         yield found(len(fp))
 
-    nodes = _nodes(prints).withColumn("rank", gray_rank(F.col("fp")))
-    return nodes.repartition("top", "node").sortWithinPartitions("top", "node", "rank").select("top", "node", "fp").mapInArrow(run, "a long, b long")
+    return run
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,16 +248,3 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group, the row with the smallest id stays.
-
-    Every row has a key of its own, so rows with equal ids and unlike texts are told apart. Rows without id come after the
-    others, and of equal ids any one stays.
-    """
-    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grouped = groups(rows.select("_row", text_col), "_row", text_col).select("_row", "component_id")
-    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), "_row")
-    first = grouped.join(rows.select("_row", id_col), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
-    return rows.join(keep(first.select("_row")), "_row", "left_semi").select(*docs.columns)

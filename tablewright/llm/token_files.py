@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tablewright.llm.batches import pieces, small_batches
-from tablewright.llm.runs import RunEncoder
+from tablewright.llm.runs import shared_encoder
 from tablewright.session import keep, remove_at_exit, shared_folder
 
 #: Ids of a sequence (a multiple of eight, so that masks start on whole bytes); sequences of a batch.
@@ -120,7 +120,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, length:
         system, base = _place(folder)
         names = [f"{base}/part-{task.partitionId():06d}.{kind}.arrow" for kind in ("ids", "documents")]
         drafts = [f"{name}.{task.taskAttemptId()}" for name in names]
-        encoder = RunEncoder(path)
+        encoder = shared_encoder(path)
         dtype, end = ("<u2" if encoder.size <= 1 << 16 else "<u4"), np.array([end_id], "<u4")
         index = pa.schema([("doc_id", id_type), ("first", pa.int64()), ("n_tokens", pa.int64())])
         n_docs = 0

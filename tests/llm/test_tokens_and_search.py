@@ -224,13 +224,17 @@ def test_alignment_equals_brute_force(spark, edges, library):
     assert alignment.summary(edges.where("false"), BYTE_LEVEL, PIECE_MODEL).count() == 0
 
 
-def test_segments_change_nothing(monkeypatch):
-    aligner = alignment.Aligner(BYTE_LEVEL, PIECE_MODEL)
-    texts = odd_texts(200, 5) + ["a b  c   d e f ", LONG[:3000]]
-    whole = aligner.encode(texts)[1]
-    monkeypatch.setattr(alignment, "SEGMENT_CHARS", 7)
-    assert aligner.encode(texts)[1] == whole
-    assert len(aligner._segments(LONG[:3000])) > 100
+def test_parts_change_nothing(monkeypatch):
+    texts = odd_texts(200, 5) + ["a b  c   d e f ", LONG[:3000], "", "a b  c"]
+    apart, whole = (alignment.Aligner(BYTE_LEVEL, PIECE_MODEL) for _ in range(2))
+    whole.segments_apart = False
+    assert apart.segments_apart and len(apart._parts(LONG[:3000])) > 100
+    monkeypatch.setattr(alignment, "AT_ONCE", 50)
+    monkeypatch.setattr(alignment, "CACHE_PARTS", 20)
+    one, other = apart.align(texts), whole.align(texts)
+    assert one[0] == other[0] and all(np.array_equal(x, y) for x, y in zip(one[1:], other[1:]))
+    again = apart.align(texts[::-1])
+    assert again[0] == one[0][::-1]
 
 
 def test_cuts_of_random_ends():
