@@ -204,7 +204,7 @@ def match_stats(resolved: DataFrame) -> DataFrame:
 def probable_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Clusters within one table, and their members.
 
-    Four passes, strongest key first, each written out before the next. In a pass the first row still free in a block takes the rows that match
+    Four passes, strongest key first; the rows still free are written out before the next. In a pass the first row still free in a block takes the rows that match
     it; the others stay free for weaker keys.
     """
     columns = data_columns(df)
@@ -219,7 +219,7 @@ def probable_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         helper(PHONE_NAMES).alias("rec_phone"), helper(EMAIL_NAMES).alias("rec_email"), helper(TAX_NAMES).alias("rec_gstin"),
     )
     keys = block_keys(F.col("name"), F.col("rec_phone"), F.col("rec_email"), F.col("rec_gstin"))
-    free = with_features(base).select("*", *[k.alias(f"_key{i}") for i, k in enumerate(keys)])
+    free = cut_lineage(with_features(base).select("*", *[k.alias(f"_key{i}") for i, k in enumerate(keys)]))
     members: DataFrame | None = None
     same = (
         (F.col("lead.gstin_ok") & (F.col("lead.rec_gstin") == F.col("rec_gstin")))
@@ -244,7 +244,7 @@ def probable_duplicates(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         members = taken if members is None else members.unionByName(taken)
         if i < len(keys) - 1:
             gone = taken.select(F.col("row").alias("_rec")).unionByName(taken.select(F.col("primary_row").alias("_rec")).distinct())
-            free = free.join(gone, "_rec", "left_anti")
+            free = cut_lineage(free.join(gone, "_rec", "left_anti"))
     best = F.max("sim")
     clusters = members.groupBy("primary_row", "primary").agg(
         F.count("*").alias("members"), shown_similarity(best).alias("similarity"), confidence(best).alias("confidence")

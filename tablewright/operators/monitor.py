@@ -59,17 +59,26 @@ METRICS = {
     "Anomaly Count": ("anomaly_count", 0.0),
     "Revenue Deviation (%)": ("revenue_deviation_pct", 0.0),
 }
+# Metrics that are texts, likewise.
+STATES = {"File Threat / Malware Flag": ("malware_status", "CLEAN")}
 # The only metric and operator pairs that fire under strict rules.
 STRICT = (("Overall Quality Score", "<"), ("Anomaly Count", ">"), ("Revenue Deviation (%)", ">"))
 
 
 def rule_breaches(metrics: DataFrame, rules: DataFrame, strict: bool = False, time: str = "period_end") -> DataFrame:
-    """Breaches of the active rules; rules are a small settings table, joined by metric."""
+    """Breaches of the active rules, of numbers and of states; ``unknown_rules`` names the rules that can never fire.
+
+    A state is compared as a text, with ``==`` and ``!=``. A metric whose column is absent has its usual value.
+    """
+
+    def given(column: str, usual: Column) -> Column:
+        return F.coalesce(F.col(column).cast(usual_type[column]), usual) if column in metrics.columns else usual
+
+    usual_type = {c: "double" for c, _ in METRICS.values()} | {c: "string" for c, _ in STATES.values()}
+    nothing = F.lit(None)
     entries = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(c).cast("double"), F.lit(d)).alias("value"))
-            for m, (c, d) in METRICS.items()
-        ]
+        *[F.struct(F.lit(m).alias("metric"), given(c, F.lit(d)).alias("value"), nothing.cast("string").alias("state")) for m, (c, d) in METRICS.items()],
+        *[F.struct(F.lit(m).alias("metric"), nothing.cast("double").alias("value"), given(c, F.lit(d)).alias("state")) for m, (c, d) in STATES.items()],
     )
     long = metrics.select(F.col("dataset").alias("dataset_target"), F.col(time).alias("triggered_at"), F.explode(entries).alias("m"))
     long = long.select("dataset_target", "triggered_at", "m.*")
@@ -77,11 +86,12 @@ def rule_breaches(metrics: DataFrame, rules: DataFrame, strict: bool = False, ti
     if strict:
         pair = F.struct("metric", "operator")
         active = active.where(pair.isin(*[F.struct(F.lit(a).alias("metric"), F.lit(b).alias("operator")) for a, b in STRICT]))
-    op, value, limit = F.col("operator"), F.col("value"), F.col("threshold").cast("double")
-    broken = (
+    op, value, limit, state = F.col("operator"), F.col("value"), F.col("threshold").try_cast("double"), F.col("state")
+    wanted = F.col("threshold").cast("string")
+    broken = F.when(state.isNotNull(), F.when(op == "==", state == wanted).when(op == "!=", state != wanted)).otherwise(
         F.when(op == "<", value < limit).when(op == ">", value > limit).when(op == "==", value == limit).when(op == "!=", value != limit)
     )
-    shown, mark = F.format_string("%.1f", F.bround(value, 1)), F.col("threshold").cast("double").cast("string")
+    shown, mark = F.coalesce(state, F.format_string("%.1f", F.bround(value, 1))), F.coalesce(limit.cast("string"), wanted)
     count = value.cast("bigint").cast("string")
     quality, anomalies = F.col("metric") == "Overall Quality Score", F.col("metric") == "Anomaly Count"
     told = F.struct("metric", "operator").isin(*[F.struct(F.lit(a).alias("metric"), F.lit(b).alias("operator")) for a, b in STRICT])
@@ -94,14 +104,27 @@ def rule_breaches(metrics: DataFrame, rules: DataFrame, strict: bool = False, ti
     metric_value = (
         F.when(quality, F.concat(F.lit("Quality Score = "), shown, F.lit("%")))
         .when(anomalies, F.concat(F.lit("Anomalies = "), count, F.lit(" rows")))
+        .when(state.isNotNull(), F.concat("metric", F.lit(" = "), state))
         .otherwise(F.concat(F.lit("Revenue Deviation = "), shown, F.lit("%")))
     )
-    return long.join(F.broadcast(active), "metric").where(broken).select(
+    return long.join(active, "metric").where(broken).select(
         "rule_id", "rule_name", "category", "severity", "channels", "cooldown_minutes", "dataset_target", "triggered_at",
         metric_value.alias("metric_value"), text.alias("message"),
     )
 
 
+def unknown_rules(rules: DataFrame) -> DataFrame:
+    """Active rules that can never fire, and why: an unknown metric, or an operator the metric does not have."""
+    metric, op = F.col("metric"), F.col("operator")
+    reason = (
+        F.when(~metric.isin(*METRICS, *STATES), "unknown metric")
+        .when(metric.isin(*STATES) & ~op.isin("==", "!="), "a state has no order")
+        .when(metric.isin(*METRICS) & ~op.isin("<", ">", "==", "!="), "unknown operator")
+        .when(metric.isin(*METRICS) & F.col("threshold").try_cast("double").isNull(), "threshold is no number")
+    )
+    return rules.where(F.col("active")).select("rule_id", "metric", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def _cooldown(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("triggered_at", kind="stable")
     pause = pd.Timedelta(minutes=float(frame["cooldown_minutes"].iloc[0]))

@@ -49,18 +49,43 @@ def scan_catalog(columns: DataFrame) -> DataFrame:
     return classed.join(risk, "dataset")
 
 
+#: Key of a column's metadata under which its class and the columns it stems from are carried.
+CARRIED = "sensitivity"
+
+
+def marked(df: DataFrame) -> DataFrame:
+    """``df`` with the class of every column in its metadata, which selections, filters, joins and files keep."""
+    return df.select(
+        *[
+            F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, CARRIED: {"class": sensitivity(f.name), "origin": [f.name]}})
+            if not f.name.startswith("_") and CARRIED not in f.metadata
+            else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        ]
+    )
+
+
+def carried(df: DataFrame, *names: str) -> dict[str, object]:
+    """Metadata for a column made from the named columns: the strictest of their classes and all origins."""
+    found = [m for f in df.schema.fields if f.name in names and (m := f.metadata.get(CARRIED))]
+    if not found:
+        return {}
+    classes = [m["class"] for m in found]
+    strictest = next((c for c in ("Sensitive", "PII", "Financial") if c in classes), "Standard")
+    return {CARRIED: {"class": strictest, "origin": sorted({o for m in found for o in m["origin"]})}}
+
+
+def hidden_columns(df: DataFrame) -> list[str]:
+    """Columns that are personal or sensitive by their name or by the class they carry."""
+    kept = ("PII", "Sensitive")
+    return [f.name for f in df.schema.fields if not f.name.startswith("_") and (sensitivity(f.name) in kept or f.metadata.get(CARRIED, {}).get("class") in kept)]
+
+
 def mask_for_role(df: DataFrame, role: str) -> DataFrame:
-    """ADMIN sees all, VIEWER no rows, everybody else masked personal and sensitive columns."""
+    """ADMIN sees all, VIEWER no rows, everybody else masked personal and sensitive columns, by name or by carried class."""
     if role == "ADMIN":
         return df
     if role == "VIEWER":
         return df.limit(0)
-    hidden = ("PII", "Sensitive")
-    return df.select(
-        *[
-            mask_value(F.col(f"`{c}`").cast("string")).alias(c)
-            if not c.startswith("_") and sensitivity(c) in hidden
-            else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+    hidden = hidden_columns(df)
+    return df.select(*[mask_value(F.col(f"`{c}`").cast("string")).alias(c) if c in hidden else F.col(f"`{c}`") for c in df.columns])

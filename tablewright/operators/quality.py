@@ -71,8 +71,8 @@ ISSUE_TEXTS = {
 }
 
 
-def case_groups(df: DataFrame) -> DataFrame:
-    """Values that differ in case only: ``(ord, column, folded, variants, first_seen)``.
+def spellings(df: DataFrame) -> DataFrame:
+    """Distinct trimmed values with cased letters: ``(ord, column, folded, v, first)``, ``first`` the row that has it first.
 
     A value without cased letters has no variants and is dropped before the shuffle, which spares numbers,
     dates and most ids. Distinct values are formed map-side, so a value in a third of all rows is no hot key.
@@ -80,27 +80,35 @@ def case_groups(df: DataFrame) -> DataFrame:
     value = strip(F.col("value"))
     cells = text_cells(df, keep=[ROW] if ROW in df.columns else [])
     row = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
-    seen = (
+    return (
         cells.where(~is_empty(F.col("value")))
         .select("ord", "column", value.alias("v"), row.alias("_row"))
         .where(F.lower("v") != F.upper("v"))
         .groupBy("ord", "column", F.lower("v").alias("folded"), "v")
         .agg(F.min("_row").alias("first"))
     )
-    return (
-        seen.groupBy("ord", "column", "folded")
-        .agg(F.count("*").alias("variants"), F.array_sort(F.collect_list(F.struct("first", "v"))).alias("spellings"))
-        .where(F.col("variants") > 1)
+
+
+def case_groups(df: DataFrame) -> DataFrame:
+    """Values that differ in case only: ``(ord, column, folded, variants)``, counted, never listed."""
+    return spellings(df).groupBy("ord", "column", "folded").agg(F.count("*").alias("variants")).where(F.col("variants") > 1)
+
+
+def case_counts(df: DataFrame) -> DataFrame:
+    """Per column: groups with variants, surplus spellings and the alphabetically first group."""
+    return case_groups(df).groupBy("ord", "column").agg(
+        F.count("*").alias("groups"), F.sum(F.col("variants") - 1).alias("surplus"), F.min("folded").alias("folded")
     )
 
 
 def case_variants(df: DataFrame) -> DataFrame:
-    """Per column: groups with variants, surplus spellings and the alphabetically first example."""
-    groups = case_groups(df)
-    example = F.min_by(F.array_join(F.transform("spellings", lambda s: s["v"]), ", "), "folded")
-    return groups.groupBy("ord", "column").agg(
-        F.count("*").alias("groups"), F.sum(F.col("variants") - 1).alias("surplus"), example.alias("example")
-    )
+    """Per column: groups with variants, surplus spellings and the spellings of the alphabetically first group.
+
+    Only the spellings of that group, which make up the shown text, are put together.
+    """
+    counts, order = case_counts(df), F.struct("first", "v")
+    shown = spellings(df).join(counts.select("ord", "folded").hint("merge"), ["ord", "folded"]).groupBy("ord").agg(F.array_sort(F.collect_list(order))["v"].alias("texts"))
+    return counts.join(shown.hint("merge"), "ord").select("ord", "column", "groups", "surplus", F.array_join("texts", ", ").alias("example"))
 
 
 def row_digest(df: DataFrame) -> F.Column:
@@ -162,15 +170,15 @@ def is_mixed() -> F.Column:
 
 
 def column_checks(df: DataFrame) -> DataFrame:
-    """One row per column with the counts behind every dimension; small, one broadcastable row per column."""
+    """One row per column with the counts behind every dimension; numbers only, so small enough to broadcast."""
     positive = [c for c in data_columns(df) if has_keyword(c, POSITIVE_NAMES)]
     facts = column_facts(text_cells(df))
-    variants = case_variants(df).drop("column")
+    variants = case_counts(df).select("ord", "surplus")
     outliers = outlier_counts(df).select("ord", "outliers_count")
     joined = facts.join(F.broadcast(variants), "ord", "left").join(F.broadcast(outliers), "ord", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(
-        "ord", "column", "n", "missing", "num_cells", "date_cells", "text_cells", "example",
+        "ord", "column", "n", "missing", "num_cells", "date_cells", "text_cells",
         is_mixed().alias("mixed"),
         F.when(F.col("column").isin(positive), F.col("negatives")).otherwise(zero).alias("negatives"),
         F.coalesce("surplus", zero).alias("surplus"),
@@ -263,7 +271,8 @@ def _issue(kind: str, prefix: str, severity: F.Column, seq: int, count: str) ->
 
 def issues(df: DataFrame) -> DataFrame:
     """Every finding as a row, numbered by dimension and then by column."""
-    checks = column_checks(df).withColumn("mixed", F.col("mixed").cast("int"))
+    examples = case_variants(df).select("ord", "example")
+    checks = column_checks(df).withColumn("mixed", F.col("mixed").cast("int")).join(examples.hint("merge"), "ord", "left")
     checks = checks.withColumn(
         "reported", F.when(F.lower("column").isin(*OUTLIER_NAMES), F.col("outliers")).otherwise(F.lit(0))
     )

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from tablewright.functions.numbers import strict_float
 from tablewright.functions.similarity import token_sort_ratio
 from tablewright.functions.text import clean_reference, sort_tokens, strip
 from tablewright.operators.columns import ROW, data_columns
+from tablewright.operators.privacy import carried
 from tablewright.operators.simjoin import contained, similar_texts
-from tablewright.session import cut_lineage
+from tablewright.session import keep
 
 # Names of the columns looked for, in order of preference, and the place taken otherwise.
 CUSTOMER = (("customer_name", "customer", "client", "client_name", "party_name", "party", "name", "account"), 1)
@@ -145,7 +147,7 @@ def ranked(rows: DataFrame, key: str, order: str) -> DataFrame:
 
     Rows are sorted over all tasks; a task ranks its own, and the numbers of rows before, one per key and task, are added.
     """
-    sorted_ = cut_lineage(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
+    sorted_ = keep(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
     counts = sorted_.groupBy(key, "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).drop("_n")
@@ -161,13 +163,13 @@ def _seekers(asked: DataFrame, offered: DataFrame, edges: DataFrame) -> DataFram
 
     An invoice without own payments looks for one. One whose own payments can all go to earlier seekers may become one.
     """
-    asked = cut_lineage(asked.withColumn("seeks", F.col("left") == 0))
+    asked = keep(asked.withColumn("seeks", F.col("left") == 0))
     count = -1
     while (now := asked.where("seeks").count()) != count:
         count = now
         first = edges.join(asked.where("seeks").groupBy("a").agg(F.min("i").alias("i")), "a").groupBy("b").agg(F.min("i").alias("first"))
         lost = offered.join(first, "b").where(F.col("first") < F.col("deadline")).groupBy(F.col("deadline").alias("i")).agg(F.count("*").alias("lost"))
-        asked = cut_lineage(asked.drop("lost").join(lost, "i", "left").withColumn("seeks", F.col("left") == F.coalesce("lost", F.lit(0))))
+        asked = keep(asked.drop("lost").join(lost, "i", "left").withColumn("seeks", F.col("left") == F.coalesce("lost", F.lit(0))))
     return asked.where("seeks").select("i", "a", "left")
 
 
@@ -187,62 +189,115 @@ def fallback_matches(asked: DataFrame, offered: DataFrame, edges: DataFrame) ->
     settled at once: the k-th invoice takes the k-th payment, as long as no other class comes first on either side,
     the invoice has lost its own payments and the payment its deadline still ahead.
     """
-    asked, offered, taken = cut_lineage(_seekers(asked, offered, edges)), cut_lineage(offered), None
+    asked, offered, taken = keep(_seekers(asked, offered, edges)), keep(offered), None
     while True:
-        least = asked.groupBy("a").agg(F.min("i").alias("least_i"))
-        open_ = cut_lineage(edges.join(least, "a").join(offered.groupBy("b").agg(F.min("p").alias("least_p")), "b"))
+        takers = asked.groupBy("a").agg(F.min(F.struct("i", "left")).alias("t"), F.count("*").alias("n_a"))
+        gifts = offered.groupBy("b").agg(F.min(F.struct("p", "deadline")).alias("g"), F.count("*").alias("n_b"))
+        open_ = keep(edges.join(takers, "a").join(gifts, "b").select("a", "b", "t.*", "g.*", "n_a", "n_b"))
         if open_.isEmpty():
             return taken if taken is not None else asked.join(offered, F.lit(False)).select("i", "p")
+        edges = open_.select("a", "b")
         # a payment that no earlier invoice looks for goes to its own invoice, which then looks no further
-        met = offered.join(open_.groupBy("b").agg(F.min("least_i").alias("first")), "b")
-        met = cut_lineage(met.withColumn("kept", F.col("first") >= F.col("deadline")))
+        met = offered.join(open_.groupBy("b").agg(F.min("i").alias("first")), "b").withColumn("kept", F.col("first") >= F.col("deadline"))
         served = met.where("kept").select(F.col("deadline").alias("i")).distinct()
         asked, offered = asked.join(served, "i", "left_anti"), met.where("not kept").select("p", "b", "deadline")
-        first_b, first_a = _two_least(open_, "a", "b", "least_p"), _two_least(open_, "b", "a", "least_i")
-        pairs = cut_lineage(first_b.join(first_a, ["a", "b"]))
-        takers = ranked(asked.join(pairs, "a"), "a", "i")
-        gifts = ranked(offered.join(pairs.select("b"), "b", "left_semi"), "b", "p")
-        both = takers.join(gifts, ["b", "rank"])
+        pairs = open_.join(_two_least(open_, "a", "b", "p"), ["a", "b"]).join(_two_least(open_, "b", "a", "i"), ["a", "b"])
         fits = (F.col("left") == 0) & (F.col("i") < F.col("b_rest")) & (F.col("p") < F.col("a_rest")) & (F.col("i") < F.col("deadline"))
-        both = cut_lineage(both.select("a", "rank", "i", "p", "deadline", fits.alias("fits")))
-        stop = both.where("not fits").groupBy("a").agg(F.min("rank").alias("stop"))
-        now = cut_lineage(both.join(stop, "a", "left").where(F.col("rank") < F.coalesce("stop", F.lit(NEVER))).select("i", "p", "deadline"))
+        pairs = keep(pairs.where(fits))
+        now = pairs.select("i", "p", "deadline")
+        runs = pairs.where((F.col("n_a") > 1) & (F.col("n_b") > 1)).select("a", "b", "a_rest", "b_rest")
+        if not runs.isEmpty():
+            both = ranked(asked.join(runs, "a"), "a", "i").join(ranked(offered.join(runs.select("b"), "b", "left_semi"), "b", "p"), ["b", "rank"])
+            both = both.select("a", "rank", "i", "p", "deadline", fits.alias("fits"))
+            stop = both.where("not fits").groupBy("a").agg(F.min("rank").alias("stop"))
+            long = both.join(stop, "a", "left").where(F.col("rank") < F.coalesce("stop", F.lit(NEVER))).select("i", "p", "deadline")
+            now = keep(now.unionByName(long).distinct())
         taken = now.select("i", "p") if taken is None else taken.unionByName(now.select("i", "p"))
         lost = now.groupBy(F.col("deadline").alias("i")).agg(F.count("*").alias("lost"))
         asked = asked.join(now.select("i"), "i", "left_anti").join(lost, "i", "left")
-        asked = cut_lineage(asked.select("i", "a", (F.col("left") - F.coalesce("lost", F.lit(0))).alias("left")))
-        offered = cut_lineage(offered.join(now.select("p"), "p", "left_anti"))
+        asked = keep(asked.select("i", "a", (F.col("left") - F.coalesce("lost", F.lit(0))).alias("left")))
+        offered = keep(offered.join(now.select("p"), "p", "left_anti"))
 
 
-def match_payments(inv: DataFrame, pay: DataFrame) -> DataFrame:
-    """``(i, p)``: the payments each invoice uses."""
+#: Claims (pairs of an invoice and a payment) of a part that one task replays in order; parts with more go by classes.
+PART_CLAIMS = 200_000
+
+
+def _serve(frame: pd.DataFrame) -> pd.DataFrame:
+    """Invoices of one part in order: their own free payments, or else the first similar one."""
+    frame = frame.sort_values(["i", "p"])
+    used, out = set(), []
+    for i, rows in frame.groupby("i", sort=False):
+        own = [p for p, mine in zip(rows["p"], rows["own"]) if mine and p not in used]
+        found = own or [p for p, mine in zip(rows["p"], rows["own"]) if not mine and p not in used][:1]
+        used.update(found)
+        out.extend((i, p) for p in found)
+    return pd.DataFrame(out, columns=["i", "p"], dtype="int64")
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    """``(ic, part)``: classes that share counterparts, directly or through others, have the least number of these."""
+    labels = keep(edges.groupBy("pc").agg(F.min("ic").alias("part")))
+    while True:
+        near = keep(edges.join(labels, "pc").groupBy("ic").agg(F.min("part").alias("part")))
+        near = near.join(near.select(F.col("ic").alias("part"), F.col("part").alias("far")), "part", "left").select("ic", F.least("part", "far").alias("part"))
+        lower = keep(edges.join(near, "ic").groupBy("pc").agg(F.min("part").alias("part")))
+        if lower.join(labels.withColumnRenamed("part", "old"), "pc").where("part <> old").isEmpty():
+            return keep(near)
+        labels = lower
+
+
+def match_payments(inv: DataFrame, pay: DataFrame, part_claims: int = PART_CLAIMS) -> DataFrame:
+    """``(i, p)``: the payments each invoice uses.
+
+    Classes that share no counterpart cannot influence each other. Such a part is replayed in order by a task if it has a
+    bounded number of claims; larger ones are settled class by class, in rounds, without a list of pairs.
+    """
     referred = first_referred(inv, pay).withColumnRenamed("i", "reserved")
     # Payments without reference refer to nothing, however many there are.
     blank = F.coalesce("p_key", F.lit("")) == ""
     unreferred = pay.where(blank).withColumn("reserved", F.lit(None).cast("bigint"))
-    pay = cut_lineage(pay.where(~blank).join(referred, "p_key", "left").unionByName(unreferred))
-    inv = cut_lineage(inv)
+    pay = keep(pay.where(~blank).join(referred, "p_key", "left").unionByName(unreferred))
+    inv = keep(inv)
     own = pay.where(F.col("reserved").isNotNull()).select(F.col("reserved").alias("i"), "p")
-    edges = cut_lineage(alike_classes(inv, pay))
-    of_ic = cut_lineage(_twins(edges, "ic", "pc").withColumnRenamed("twin", "a"))
-    edges = edges.join(of_ic, "ic").select("a", "pc").distinct()
-    of_pc = cut_lineage(_twins(edges, "pc", "a").withColumnRenamed("twin", "b"))
-    edges = cut_lineage(edges.join(of_pc, "pc").select("a", "b").distinct())
-    asked = _in_class(inv, "i_name", "i_amt", "i", "ic").join(of_ic, "ic").join(own.groupBy("i").agg(F.count("*").alias("n")), "i", "left")
-    offered = _in_class(pay, "p_name", "p_amt", "p", "pc").join(of_pc, "pc")
-    found = fallback_matches(
-        asked.select("i", "a", F.coalesce("n", F.lit(0)).alias("left")),
-        offered.select("p", "b", F.coalesce("reserved", F.lit(NEVER)).alias("deadline")), edges,
-    )
+    alike = keep(alike_classes(inv, pay))
+    asked = _in_class(inv, "i_name", "i_amt", "i", "ic").select("i", "ic")
+    asked = keep(asked.join(own.groupBy("i").agg(F.count("*").alias("left")), "i", "left").withColumn("left", F.coalesce("left", F.lit(0))))
+    deadline = F.coalesce("reserved", F.lit(NEVER)).alias("deadline")
+    offered = keep(_in_class(pay, "p_name", "p_amt", "p", "pc").select("p", "pc", deadline).join(alike.select("pc").distinct(), "pc"))
+    # an invoice belongs to the part of the payments it may lose, too
+    tied = offered.join(asked.select(F.col("i").alias("deadline"), "ic"), "deadline").select("ic", "pc")
+    part_of = _parts(alike.unionByName(tied).distinct())
+    members = asked.groupBy("ic").agg(F.count("*").alias("n_i")).join(alike, "ic").join(offered.groupBy("pc").agg(F.count("*").alias("n_p")), "pc")
+    large = members.join(part_of, "ic").groupBy("part").agg(F.sum(F.col("n_i") * F.col("n_p")).alias("claims")).where(F.col("claims") > part_claims)
+    large = keep(part_of.join(large.select("part"), "part"))
+    small = alike.join(large, "ic", "left_anti").join(part_of, "ic")
+    fuzzy = small.join(asked, "ic").join(offered, "pc").where(F.col("i") < F.col("deadline")).select("part", "i", "p", F.lit(False).alias("own"))
+    mine = own.join(asked.join(part_of.join(large, "ic", "left_anti"), "ic"), "i").select("part", "i", "p", F.lit(True).alias("own"))
+    found = keep(fuzzy.unionByName(mine).groupBy("part").applyInPandas(_serve, "i bigint, p bigint").join(own, ["i", "p"], "left_anti"))
+    if not large.isEmpty():
+        found = keep(found.unionByName(_by_classes(asked, offered, alike.join(large.select("ic"), "ic", "left_semi"))))
     return found.unionByName(own.join(found.select("p"), "p", "left_anti").select("i", "p"))
 
 
+def _by_classes(asked: DataFrame, offered: DataFrame, alike: DataFrame) -> DataFrame:
+    """``fallback_matches`` of the classes in ``alike``, those with the same counterparts as one."""
+    of_ic = keep(_twins(alike, "ic", "pc").withColumnRenamed("twin", "a"))
+    edges = alike.join(of_ic, "ic").select("a", "pc").distinct()
+    of_pc = keep(_twins(edges, "pc", "a").withColumnRenamed("twin", "b"))
+    edges = keep(edges.join(of_pc, "pc").select("a", "b").distinct())
+    return fallback_matches(asked.join(of_ic, "ic").select("i", "a", "left"), offered.join(of_pc, "pc").select("p", "b", "deadline"), edges)
+
+
 def _money(c: Column) -> Column:
     return F.concat(F.lit("₹"), F.format_number(c, 2))
 
 
 def payment_ledger(invoices: DataFrame, payments: DataFrame) -> DataFrame:
-    """Status of every invoice, and a row per payment without invoice."""
+    """Status of every invoice, and a row per payment without invoice.
+
+    Columns of tables that carry their class (``privacy.marked``) pass it on, the customer's name also to the explanation.
+    """
     inv, pay = invoices_view(invoices), payments_view(payments)
     used = match_payments(inv, pay)
     paid = used.join(pay.select("p", "p_cust", "p_amt"), "p").groupBy("i").agg(
@@ -276,7 +331,19 @@ def payment_ledger(invoices: DataFrame, payments: DataFrame) -> DataFrame:
         F.round("p_amt", 2).alias("paid_amount"), F.lit("Unmatched Payment").alias("status"),
         F.lit("Payment received without corresponding invoice record.").alias("details"),
     )
-    return served.unionByName(over)
+    sides = [(df, data_columns(df)) for df in (invoices, payments)]
+    made_of = {
+        "invoice_no": (INVOICE_NO, PAYMENT_REF), "customer": (CUSTOMER, CUSTOMER), "invoice_amount": (INVOICE_AMOUNT, None),
+        "paid_amount": (None, PAID_AMOUNT), "details": (CUSTOMER, CUSTOMER),
+    }
+
+    def passed_on(name: str) -> dict[str, object]:
+        parts = [df.select(F.col(f"`{find_column(columns, wanted)}`")) for (df, columns), wanted in zip(sides, made_of.get(name, ())) if wanted]
+        both = {k: v for part in parts for k, v in carried(part, *part.columns).items()}
+        return both
+
+    ledger = served.unionByName(over)
+    return ledger.select(*[F.col(c).alias(c, metadata=m) if (m := passed_on(c)) else F.col(c) for c in ledger.columns])
 
 
 def ledger_stats(ledger: DataFrame) -> DataFrame:

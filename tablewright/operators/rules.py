@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tablewright.functions.dates import parse_date
 from tablewright.functions.numbers import float_text, parse_plain, percent, percent_text
 from tablewright.functions.text import has_keyword, strip
+from tablewright.functions.masking import mask_value
 from tablewright.operators.columns import ROW, data_columns, text_cells
+from tablewright.operators.privacy import hidden_columns, mask_for_role
 
 # Format of a tax id.
 TAX_ID = r"^[0-9]{2}[a-zA-Z]{5}[0-9]{4}[a-zA-Z]{1}[1-9a-zA-Z]{1}[zZ]{1}[0-9a-zA-Z]{1}$"
@@ -97,6 +99,15 @@ def violations(df: DataFrame, rules: Sequence[tuple[str, str]], as_of: Column |
     return broken.select(F.col(ROW).alias("row_index"), "column", "value", "rule_type", "error_msg")
 
 
+def masked_violations(df: DataFrame, rules: Sequence[tuple[str, str]], role: str, as_of: Column | None = None) -> DataFrame:
+    """Violations as the role may see them: values, and the messages that repeat them, of hidden columns are masked."""
+    found = mask_for_role(violations(df, rules, as_of), role)
+    if role in ("ADMIN", "VIEWER"):
+        return found
+    secret = F.col("column").isin(*hidden_columns(df))
+    return found.select(*[F.when(secret, mask_value(F.col(c))).otherwise(F.col(c)).alias(c) if c in ("value", "error_msg") else F.col(c) for c in found.columns])
+
+
 def compliance(df: DataFrame, rules: Sequence[tuple[str, str]], as_of: Column | None = None) -> DataFrame:
     """Checks, violations and the share of cells that pass; 100 if nothing is checked."""
     total = F.count("*")

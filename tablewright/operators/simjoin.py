@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.similarity import ratio
-from tablewright.session import cut_lineage
+from tablewright.session import keep
 
 #: Pairs a list may give rise to before it is split by the next gram.
 LIST_PAIRS = 1024
+#: Pairs of long lists, all together, from which on a step of splitting costs less than it saves.
+WORTH = 1 << 22
 #: Grams a list is split by at most; what is still long then stays as it is.
 DEPTH = 6
 #: Contained texts have at least this many characters.
@@ -56,13 +58,13 @@ def _least_shared(size: Column, threshold: int) -> Column:
 
 def _ordered_grams(texts: DataFrame) -> DataFrame:
     """``texts`` with their grams, rarest first."""
-    held = cut_lineage(texts.select("text", F.explode(grams(F.col("text"))).alias("gram")))
+    held = keep(texts.select("text", F.explode(grams(F.col("text"))).alias("gram")))
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     order = F.array_sort(F.collect_list(F.struct("n", "gram")))["gram"]  # as long as the text
     return texts.join(held.join(counts, "gram").groupBy("text").agg(order.alias("grams")), "text")
 
 
-def _lists(texts: DataFrame, threshold: int, list_pairs: int) -> DataFrame:
+def _lists(texts: DataFrame, threshold: int, list_pairs: int = LIST_PAIRS, worth: int = WORTH) -> DataFrame:
     """``texts`` under the lists (``path``, of ``level`` grams) in which they meet similar ones; ``at``: place of the last gram.
 
     A long list is split where that adds no pairs, which it does if its texts are alike anyhow.
@@ -82,20 +84,20 @@ def _lists(texts: DataFrame, threshold: int, list_pairs: int) -> DataFrame:
 
     rows, done, level = spread(texts.withColumn("least", _least_shared(F.length("text"), threshold)), 1, F.lit(1), F.lit("")), [], 1
     while True:
-        rows = cut_lineage(rows.drop("parent"))
-        long = cut_lineage(listed(rows, "path").where(F.col("pairs") > list_pairs).select(F.col("path").alias("parent"), "pairs", F.col("n").alias("all")))
-        if level == DEPTH or long.isEmpty():
+        rows = keep(rows.drop("parent"))
+        long = keep(listed(rows, "path").where(F.col("pairs") > list_pairs).select(F.col("path").alias("parent"), "pairs", F.col("n").alias("all")))
+        if level == DEPTH or (long.agg(F.sum("pairs")).first()[0] or 0) <= worth:
             return reduce(DataFrame.unionByName, done, rows)
         below = rows.withColumnRenamed("path", "parent").join(long.select("parent"), "parent", "left_semi")
-        below = cut_lineage(spread(below, level + 1, F.col("at") + 1, F.col("parent")))
-        parts = cut_lineage(listed(below, "parent", "path").withColumnRenamed("pairs", "part"))
+        below = keep(spread(below, level + 1, F.col("at") + 1, F.col("parent")))
+        parts = keep(listed(below, "parent", "path").withColumnRenamed("pairs", "part"))
         # the next gram of any pair of a list comes no later than the first that all its texts hold
         stops = parts.join(long, "parent").groupBy("parent", "pairs").agg(F.min_by("path", F.when(F.col("n") == F.col("all"), F.col("first"))).alias("stop"))
         gram = F.array_position("grams", F.element_at(F.split("stop", _PART), -1))
         below = below.join(stops, "parent").where(F.col("stop").isNull() | (F.col("at") <= gram))
         sums = listed(below, "parent", "path").groupBy("parent").agg(F.sum("pairs").alias("parts"))
         split = long.join(sums, "parent", "left").where(F.coalesce("parts", F.lit(0)) <= F.col("pairs"))
-        split = cut_lineage(split.select(F.col("parent").alias("path"), F.lit(True).alias("split")))
+        split = keep(split.select(F.col("parent").alias("path"), F.lit(True).alias("split")))
         # texts that need share no more grams than the path has stay together in its list
         told = rows.join(split, "path", "left").where(F.col("split").isNull() | (F.col("least") <= level))
         done.append(told.select(*rows.columns))
@@ -103,11 +105,11 @@ def _lists(texts: DataFrame, threshold: int, list_pairs: int) -> DataFrame:
         level += 1
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: int, list_pairs: int = LIST_PAIRS) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, threshold: int, list_pairs: int = LIST_PAIRS, worth: int = WORTH) -> DataFrame:
     """``(a, b)``, each pair of different texts (``left``, ``right``) that may be similar once, in the order of the texts."""
     sides = left.select(F.col("left").alias("text"), F.lit(True).alias("l")).unionByName(right.select(F.col("right").alias("text"), F.lit(False).alias("l")))
     texts = sides.where(F.col("text") != "").groupBy("text").agg(F.bool_or("l").alias("is_left"), F.bool_or(~F.col("l")).alias("is_right"))
-    listed = _lists(cut_lineage(_ordered_grams(cut_lineage(texts))), threshold, list_pairs)
+    listed = _lists(keep(_ordered_grams(keep(texts))), threshold, list_pairs, worth)
     x, y = listed.alias("x"), listed.alias("y")
     a, b = F.length("x.text"), F.length("y.text")
     common = _common_length(a, b, threshold)
@@ -128,11 +130,11 @@ def candidates(left: DataFrame, right: DataFrame, threshold: int, list_pairs: in
     return met.where((F.size("both") >= F.col("shared")) & first).select("a", "b", "forth", "back")
 
 
-def similar_texts(left: DataFrame, right: DataFrame, threshold: int, list_pairs: int = LIST_PAIRS) -> DataFrame:
+def similar_texts(left: DataFrame, right: DataFrame, threshold: int, list_pairs: int = LIST_PAIRS, worth: int = WORTH) -> DataFrame:
     """Pairs ``(left, right)`` of distinct texts, neither blank, that are at least that similar; equal texts are."""
     if not 200 / 3 < threshold <= 100:
         raise ValueError("two-letter grams find texts that are more than two thirds alike")
-    close = candidates(left, right, threshold, list_pairs).where(ratio(F.col("a"), F.col("b")) >= threshold)
+    close = candidates(left, right, threshold, list_pairs, worth).where(ratio(F.col("a"), F.col("b")) >= threshold)
     ways = F.array(
         F.when(F.col("forth"), F.struct(F.col("a").alias("left"), F.col("b").alias("right"))),
         F.when(F.col("back"), F.struct(F.col("b").alias("left"), F.col("a").alias("right"))),
@@ -160,7 +162,7 @@ def _windows(text: Column, first: Column, last: Column) -> Column:
 def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     """Pairs ``(small, large)`` of distinct texts, the first a part of the second and four characters or more."""
     short, size = small.where(F.length("small") >= CONTAINED_FROM).select("small").distinct(), F.length("small")
-    own = cut_lineage(short.select("small", F.explode(_windows(F.col("small"), _class(size), _class(size))).alias("w")).select("small", "w.*"))
+    own = keep(short.select("small", F.explode(_windows(F.col("small"), _class(size), _class(size))).alias("w")).select("small", "w.*"))
     counts = own.groupBy("c", "h").agg(F.count_distinct("small").alias("n"))
     rarest = own.join(counts, ["c", "h"]).groupBy("small").agg(F.min(F.struct("n", "c", "h", "at")).alias("w")).select("small", "w.c", "w.h", "w.at")
     longest = F.length("large")

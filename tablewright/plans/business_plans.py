@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import explain, inventory, monitor, names, profile, reconcile, schemas
 from tablewright.operators.columns import ROW
+from tablewright.plans import sequences
 from tablewright.plans import sqltext as q
 from tablewright.plans.entity_plans import SOURCES
 from tablewright.plans.fixtures import check_sql, derived, given_table
@@ -72,18 +73,22 @@ def naive(*names):
     return lambda df: df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def metrics(spark, folder, slide=None):
+def metrics(spark, folder, slide=None, period="1 day"):
     events = given_table(spark, folder, "events").select(
         F.col("event_type").alias("dataset"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )
     v = F.col("value")
-    return monitor.window_metrics(events, v < 50, v > 99, v, 50.0, period="1 day", slide=slide)
+    return monitor.window_metrics(events, v < 50, v > 99, v, 50.0, period=period, slide=slide)
 
 
 def marked(spark, folder):
     return monitor.with_cooldown(monitor.rule_breaches(metrics(spark, folder), derived(spark, folder, "rules")))
 
 
+def paused(spark, folder):
+    return monitor.with_cooldown(monitor.rule_breaches(metrics(spark, folder, period="30 minutes"), derived(spark, folder, "rules")))
+
+
 def opened(spark, folder):
     return monitor.alerts(marked(spark, folder))
 
@@ -122,6 +127,7 @@ QUERIES = {
     "payment_ledger": lambda s, d: reconcile.payment_ledger(*billed(s, d)),
     "payment_stats": lambda s, d: reconcile.ledger_stats(reconcile.payment_ledger(*billed(s, d))),
     "name_clusters": lambda s, d: names.name_clusters(derived(s, d, "persons_text")),
+    "name_members": lambda s, d: names.name_members(derived(s, d, "persons_text")),
     "explain_issues": lambda s, d: explain.explain(derived(s, d, "findings"), derived(s, d, "dictionary"), ["dataset"]),
     "business_impact": lambda s, d: explain.business_impact(quality.issues(messy(s, d))),
     "top_issues": lambda s, d: explain.top_issues(quality.issues(messy(s, d))).select("seq", "id", "title"),
@@ -140,6 +146,7 @@ QUERIES = {
     "sliding_metrics": lambda s, d: naive("period_start", "period_end")(metrics(s, d, "12 hours")),
     "rule_breaches": lambda s, d: naive("triggered_at")(monitor.rule_breaches(metrics(s, d), derived(s, d, "rules"))),
     "cooldown_alerts": lambda s, d: naive("triggered_at")(marked(s, d)).select("rule_id", "dataset_target", "triggered_at", "alert", "cooldown_remaining_mins"),
+    "cooldown_pauses": lambda s, d: naive("triggered_at")(paused(s, d)).select("rule_id", "dataset_target", "triggered_at", "alert", "cooldown_remaining_mins"),
     "alert_status": lambda s, d: naive("changed_at")(monitor.latest_status(opened(s, d), changes(s, d))),
     "rule_versions": rule_versions,
     "channel_fanout": lambda s, d: monitor.fan_out(opened(s, d)),
@@ -157,24 +164,6 @@ ano AS (SELECT sku, product_name, 'Missing SKU in Stock Logs' AS anomaly_type, '
     FROM stock WHERE {q.strip('SKU')} NOT IN (SELECT sku FROM sal))"""
 
 
-def clean_ref(c: str) -> str:
-    return f"lower(replace(replace({q.strip(c)}, '-', ''), ' ', ''))"
-
-
-# The invoice numbers have one length here, so a longer reference is searched for all its parts of that length.
-REFERRED = f"""ino AS (SELECT {clean_ref('Invoice_No')} AS ik, min(_row_idx) AS i FROM invoices GROUP BY 1),
-ref AS (SELECT _row_idx AS p, {clean_ref('Payment_Ref')} AS pk FROM payments),
-prt AS (SELECT p, pk, unnest(list_transform(range(1, length(pk) - 10), lambda a: substring(pk, a, 12))) AS ik FROM ref),
-rfd AS (SELECT p, min(i) AS i FROM prt JOIN ino USING (ik) GROUP BY p)"""
-SIMILAR = f"""nms AS (SELECT DISTINCT lower(Customer_Name) AS n FROM invoices UNION SELECT DISTINCT lower(Customer) FROM payments),
-srt AS (SELECT n, {q.sort_words('n')} AS x FROM nms),
-prs AS (SELECT a.n AS a, b.n AS b, a.x AS ax, b.x AS bx FROM srt a JOIN srt b ON a.n <= b.n
-  AND least(length(a.x), length(b.x)) * 200 >= 80 * (length(a.x) + length(b.x))),
-lik AS (SELECT a, b FROM prs WHERE {q.ratio('ax', 'bx')} >= 80), sym AS (SELECT a, b FROM lik UNION SELECT b, a FROM lik)"""
-SIMILAR_PAIRS = """SELECT i._row_idx AS i, p._row_idx AS p FROM invoices i JOIN sym ON lower(i.Customer_Name) = a JOIN payments p ON b = lower(p.Customer)
-WHERE abs(i.Amount - p.Paid_Amount) <= 10 OR (i.Amount > 0 AND abs(i.Amount - p.Paid_Amount) / i.Amount <= 0.05::DOUBLE)"""
-
-
 def match_sql() -> str:
     cols = {
         "crm": ["Customer_ID", "Customer_Name", "Phone", "Email", "Revenue", "Last_Login"],
@@ -243,13 +232,15 @@ PAYLOADS = """pl AS (SELECT 'wh_' || _row_idx AS id, system_id, ts, 'Inbound Web
   CASE WHEN json_valid(payload) AND json_extract_string(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END, '$.k') IS NOT NULL THEN 'NORMALIZED' ELSE 'REJECTED' END AS normalized_status, payload AS sample FROM payloads)"""
 
 
-def metric_select(start: str, source: str = "events") -> str:
-    return f"""SELECT event_type AS dataset, {start} AS period_start, {start} + INTERVAL 1 DAY AS period_end, count(*) AS num_rows,
+def metric_select(start: str, source: str = "events", span: str = "1 DAY") -> str:
+    return f"""SELECT event_type AS dataset, {start} AS period_start, {start} + INTERVAL {span} AS period_end, count(*) AS num_rows,
     count(*) FILTER (value < 50)::DOUBLE / count(*) * 100 AS overall_quality_score, count(*) FILTER (value > 99) AS anomaly_count,
     abs(avg(value) - 50.0::DOUBLE) / 50.0::DOUBLE * 100 AS revenue_deviation_pct FROM {source} GROUP BY 1, 2"""
 
 
-BREACHES = f"""met AS ({metric_select("date_trunc('day', ts)")}),
+DAILY = metric_select("date_trunc('day', ts)")
+HALF_HOURLY = metric_select("time_bucket(INTERVAL 30 MINUTE, ts)", span="30 MINUTE")
+BREACHES = f"""met AS ({DAILY}),
 lng AS (SELECT dataset AS dataset_target, period_end AS triggered_at, 'Overall Quality Score' AS metric, overall_quality_score AS v FROM met
   UNION ALL SELECT dataset, period_end, 'Anomaly Count', anomaly_count FROM met UNION ALL SELECT dataset, period_end, 'Revenue Deviation (%)', revenue_deviation_pct FROM met),
 brk AS (SELECT rule_id, rule_name, category, severity, channels, cooldown_minutes, dataset_target, triggered_at,
@@ -265,6 +256,15 @@ mrk AS (SELECT b.*, f = dataset_target AS alert, CASE WHEN f <> dataset_target T
 opn AS (SELECT 'alt_' || epoch(triggered_at)::BIGINT || '_' || rule_id AS alert_id, * FROM mrk WHERE alert)"""
 
 
+# Periods shorter than the pauses: of each rule's times, one after the other, the next alert is the first a pause after the last.
+PAUSED = f"""{BREACHES.replace(DAILY, HALF_HOURLY)}, tms AS (SELECT DISTINCT rule_id, triggered_at, cooldown_minutes FROM brk),
+fir(rule_id, t) AS (SELECT rule_id, min(triggered_at) FROM tms GROUP BY 1
+  UNION ALL (SELECT f.rule_id, min(x.triggered_at) FROM fir f JOIN tms x ON x.rule_id = f.rule_id AND x.triggered_at >= f.t + to_minutes(x.cooldown_minutes) GROUP BY f.rule_id, f.t)),
+led AS (SELECT rule_id, triggered_at, min(dataset_target) AS head FROM brk GROUP BY 1, 2),
+las AS (SELECT tms.rule_id, triggered_at, max(t) AS last FROM tms JOIN fir ON fir.rule_id = tms.rule_id AND t <= triggered_at GROUP BY 1, 2),
+mrk AS (SELECT b.*, last = triggered_at AND head = dataset_target AS alert, last FROM brk b JOIN led USING (rule_id, triggered_at) JOIN las USING (rule_id, triggered_at))"""
+
+
 def rules_sql(ctes: str, select: str) -> str:
     return check_sql(["rules"], f", {ctes}\n{select}")
 
@@ -323,8 +323,7 @@ CHECKS = {
         count(*) FILTER (anomaly_type = 'Negative Stock Balance') AS negative_stock_skus, count(*) FILTER (anomaly_type = 'Critical Low Stock') AS low_stock_skus,
         count(*) FILTER (anomaly_type LIKE 'Missing%') AS missing_skus FROM ano""",
     ),
-    "payments_by_reference": check_sql(["invoices", "payments"], f", {REFERRED} SELECT p, i FROM rfd"),
-    "payments_by_similarity": check_sql(["invoices", "payments"], f", {SIMILAR} {SIMILAR_PAIRS}"),
+    **sequences.CHECKS,
     "schema_match": check_sql([f"src_{s}" for s in SOURCES], match_sql()),
     "source_detect": check_sql(["files"], detect_sql()),
     "field_roles": messy_sql(f"{MESSY.facts}, {ROLES}", 'SELECT "column", role FROM roles'),
@@ -343,6 +342,10 @@ CHECKS = {
     ),
     "rule_breaches": rules_sql(BREACHES, "SELECT * FROM brk"),
     "cooldown_alerts": rules_sql(COOLED, "SELECT rule_id, dataset_target, triggered_at, alert, cooldown_remaining_mins FROM mrk"),
+    "cooldown_pauses": rules_sql(
+        PAUSED,
+        """SELECT rule_id, dataset_target, triggered_at, alert, CASE WHEN NOT alert THEN round_even(cooldown_minutes::DOUBLE - (epoch_us(triggered_at) - epoch_us(last)) / 6e7::DOUBLE, 1) END AS cooldown_remaining_mins FROM mrk"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "alert_status": rules_sql(
         COOLED,
         """SELECT alert_id, rule_id, CASE day(triggered_at) % 3 WHEN 0 THEN 'ACKNOWLEDGED' WHEN 1 THEN 'RESOLVED' ELSE 'OPEN' END AS status,

@@ -151,6 +151,13 @@ SQL = {
           ('rule_4', 'Revenue Anomaly Discrepancy', 'Business Risk', 'Revenue Deviation (%)', '>', 15.0, 'WARNING', 'Email|Slack', 120, true),
           ('rule_5', 'Unused', 'Data Quality', 'Anomaly Count', '>', 0.0, 'HIGH', 'Slack', 30, false)
         ) AS r(rule_id, rule_name, category, metric, operator, threshold, severity, channels, cooldown_minutes, active)""",
+    "state_rules": """
+        SELECT * FROM (VALUES
+          ('rule_2', 'Anomaly Count Spike', 'Data Quality', 'Anomaly Count', '>', '8', 'HIGH', 'Slack|Teams', 30, true),
+          ('rule_3', 'Malware & Security Threat Flag', 'Security', 'File Threat / Malware Flag', '==', 'INFECTED', 'CRITICAL', 'Email|WhatsApp|SMS', 15, true),
+          ('rule_6', 'Not clean', 'Security', 'File Threat / Malware Flag', '!=', 'CLEAN', 'LOW', 'Slack', 15, false),
+          ('rule_7', 'Unheard of', 'Data Quality', 'Moon Phase', '>', '1', 'LOW', 'Slack', 15, true)
+        ) AS r(rule_id, rule_name, category, metric, operator, threshold, severity, channels, cooldown_minutes, active)""",
     "audit_lines": """
         SELECT event_id AS _row_idx,
                concat(cast(date_trunc('second', ts) AS string), chr(9), 'User', cast(user_id AS string), chr(9), event_type,

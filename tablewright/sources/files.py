@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     table = (
         spark.read.schema(schema)
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8", nullValue="", enforceSchema=False)
+        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8", nullValue="", enforceSchema=False, escape='"')
         .csv(path)
     )
     cells = {c: F.replace(F.col(f"`{c}`"), F.lit(UNDECODED), F.lit("")) for c in names}
@@ -87,7 +87,8 @@ def admission(spark: SparkSession, path: str, signature: str, max_bytes: int = M
 def export_masked(df: DataFrame, role: str, path: str) -> None:
     """CSV of what the role may see."""
     masked = mask_for_role(df, role)
-    masked.select(*data_columns(masked)).write.mode("overwrite").option("header", True).csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    masked.select(*data_columns(masked)).write.mode("overwrite").options(header=True, escape='"', **kept).csv(path)
 
 
 def save_merged(golden: DataFrame, folder: str, name: str, meta: dict[str, str]) -> None:
@@ -116,6 +117,21 @@ def dataset_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
+def payload_intake(payloads: DataFrame, schema: str, required: Sequence[str] = ()) -> DataFrame:
+    """``payloads`` (payload, ...) with the fields of the JSON ``schema`` and why a payload is turned away (null: accepted).
+
+    A payload is turned away if it is no JSON object or lacks a required field. Batch and stream alike, one pass.
+    """
+    corrupt = "_broken"
+    parsed = F.from_json("payload", f"{schema}, {corrupt} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    rows = payloads.withColumn("_json", parsed)
+    fields = [n for n in rows.schema["_json"].dataType.fieldNames() if n != corrupt]
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"_json.`{n}`").isNull(), F.lit(n)) for n in required] or [F.lit(None).cast("string")]))
+    broken = F.col("payload").isNull() | F.col("_json").isNull() | F.col(f"_json.{corrupt}").isNotNull()
+    reason = F.when(broken, "malformed").when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ", ")))
+    return rows.select(*payloads.columns, *[F.when(~broken, F.col(f"_json.`{n}`")).alias(n) for n in fields], reason.alias("reason"))
+
+
 def json_payloads(raw: DataFrame, system: Column, time: Column) -> DataFrame:
     """Payload rows from a text or JSON-line reader, batch or stream alike."""
     return raw.select(

@@ -56,7 +56,8 @@ def test_payments_match_the_sequence(spark):
         i_df = spark.createDataFrame(inv, "_row_idx long, Invoice_No string, Customer_Name string, Amount double")
         p_df = spark.createDataFrame(pay, "_row_idx long, Payment_Ref string, Customer string, Paid_Amount double")
         views = reconcile.invoices_view(i_df), reconcile.payments_view(p_df)
-        got = {(r.i, r.p) for r in reconcile.match_payments(*views).collect()}
+        limit = 3 if trial == 2 else reconcile.PART_CLAIMS
+        got = {(r.i, r.p) for r in reconcile.match_payments(*views, limit).collect()}
         assert got == want, trial
 
 
@@ -109,8 +110,13 @@ def test_name_clusters_match_the_sequence(spark):
     for limits in ({}, {"batch": 20}):
         got = {r.norm: r.leader for r in names.leaders_of_names(forms, **limits).collect()}
         assert got == want
-    clusters = names.name_clusters(frame).collect()
-    assert any("Rahul" in r.primary or "rahul" in r.primary.lower() for r in clusters)
+    spelled = {t.strip() for t in texts if t.strip()}
+    heads = {f: min(t for t in spelled if norm(t) == f) for f in want}
+    groups = {}
+    for t in spelled:
+        groups.setdefault(heads[want[norm(t)]], set()).add(t)
+    found = {r.primary: r.variations for r in names.name_clusters(frame).collect()}
+    assert found == {head: len(some) - 1 for head, some in groups.items() if len(some) > 1}
 
 
 def entity_model(records):

@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,14 +238,38 @@ def test_ledger_with_an_empty_side(spark):
     assert reconcile.ledger_stats(ledger.limit(0)).first().unmatched_pct == 0.0
 
 
-def test_missed_rank_is_an_error(spark, monkeypatch):
-    """A sketch whose bracket misses the rank must not give a wrong quantile."""
+def test_missed_ranks_are_looked_for_again(spark, monkeypatch):
+    """A sketch whose bracket misses the rank costs a pass and nothing else."""
+    monkeypatch.setattr(columns, "RANKED_VALUES", 100)
     numbers = spark.range(2000).selectExpr("'c' AS k", "cast(id AS double) AS x")
-    exact = columns.exact_quantiles(numbers, ["k"], "x", [0.25, 0.5], accuracy=100).first()
-    assert (exact.q0, exact.q1) == (499.75, 999.5)
-    monkeypatch.setattr(columns.F, "percentile_approx", lambda value, points, accuracy: F.array(*[F.max(value) for _ in points]))
-    with pytest.raises(Exception, match="outside its bracket"):
-        columns.exact_quantiles(numbers, ["k"], "x", [0.5], accuracy=100).first()
+    for miss in (F.max, F.min):
+        with monkeypatch.context() as patch:
+            patch.setattr(columns.F, "percentile_approx", lambda value, points, accuracy: F.array(*[miss(value) for _ in points]))
+            exact = columns.exact_quantiles(numbers, ["k"], "x", [0.25, 0.5], accuracy=100).first()
+        assert (exact.q0, exact.q1) == (499.75, 999.5)
+
+
+def test_ordered_bits_sort_like_the_numbers(spark):
+    rng = random.Random(6)
+    xs = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf")]
+    xs += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(500)] + [s * 2.0**e * f for e in range(-60, 60, 7) for s in (1, -1) for f in (1, 1 + 2**-50, 1 - 2**-50)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", columns.ordered_bits(F.col("x")).alias("b")).collect()
+    rows.sort(key=lambda r: r.x)
+    assert all(a.b <= b.b for a, b in zip(rows, rows[1:])) and len({r.b for r in rows}) > 500
+
+
+@pytest.mark.parametrize("ranked", [3, 50])
+def test_quantiles_by_histograms(spark, monkeypatch, ranked):
+    """Few values may be ranked at once, so histograms of the bits have to narrow the brackets down."""
+    import numpy as np
+
+    monkeypatch.setattr(columns, "RANKED_VALUES", ranked)
+    rng = np.random.default_rng(2)
+    xs = {"a": rng.normal(size=900), "b": np.repeat([-1.0, 2.0, 3.0], [300, 10, 99]), "c": np.arange(500.0), "d": 10.0 ** rng.integers(-200, 200, 400), "e": np.array([7.0])}
+    cells = spark.createDataFrame([(k, float(x)) for k, v in xs.items() for x in v], "k string, x double").repartition(4)
+    got = {r.k: r for r in columns.exact_quantiles(cells, ["k"], "x", [0.0, 0.25, 0.5, 1.0], accuracy=20).collect()}
+    for k, v in xs.items():
+        assert [got[k].q0, got[k].q1, got[k].q2, got[k].q3] == pytest.approx(list(np.quantile(v, [0.0, 0.25, 0.5, 1.0])))
 
 
 def test_stock_deviates_only_by_a_given_test(spark):

@@ -32,7 +32,7 @@ def test_similar_texts_equal_all_pairs(spark, threshold, list_pairs):
     left, right = rng.sample(pool, 90), rng.sample(pool, 90)
     want = sorted((a, b) for a in left for b in right if a and b and ratio(a, b) >= threshold)
     l_df, r_df = (spark.createDataFrame([(t,) for t in side], f"{name} string") for side, name in ((left, "left"), (right, "right")))
-    got = [(r.left, r.right) for r in simjoin.similar_texts(l_df, r_df, threshold, list_pairs).collect()]
+    got = [(r.left, r.right) for r in simjoin.similar_texts(l_df, r_df, threshold, list_pairs, worth=0).collect()]
     assert sorted(got) == want
 
 
@@ -41,7 +41,7 @@ def test_pairs_looked_at_grow_slower_than_the_names(spark):
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
     for count in (2000, 8000):
         made = spark.createDataFrame([(f"{word()} {word()}", True, True) for _ in range(count)], "text string, is_left boolean, is_right boolean")
-        lists = simjoin._lists(simjoin._ordered_grams(made), 80, simjoin.LIST_PAIRS).groupBy("level", "path").count()
+        lists = simjoin._lists(simjoin._ordered_grams(made), 80).groupBy("level", "path").count()
         tested[count] = lists.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] / count
     assert tested[8000] < 2 * tested[2000]
 
@@ -72,7 +72,7 @@ def test_equal_invoices_are_settled_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(reconcile, "_two_least", lambda *a: rounds.append(1) or plain(*a))
     inv = spark.createDataFrame([(i, f"INV-{i:04d}", "Ann Smith", 100.0) for i in range(500)], "_row_idx long, Invoice_No string, Customer_Name string, Amount double")
     pay = spark.createDataFrame([(p, "", "Ann Smith" if p % 2 else "Ann Smyth", 100.0) for p in range(600)], "_row_idx long, Payment_Ref string, Customer string, Paid_Amount double")
-    found = reconcile.match_payments(reconcile.invoices_view(inv), reconcile.payments_view(pay))
+    found = reconcile.match_payments(reconcile.invoices_view(inv), reconcile.payments_view(pay), part_claims=0)
     assert sorted((r.i, r.p) for r in found.collect()) == [(i, i) for i in range(500)]
     assert len(rounds) / 2 < 10
 
