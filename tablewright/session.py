@@ -43,13 +43,21 @@ def remove_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(_remove, spark, folder)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``keep`` returned; nothing may read it any more."""
+    if folder := getattr(df, "_kept_in", None):
+        _remove(df.sparkSession, folder)
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there; the files go when the program ends."""
+    """Write ``df`` once to the shared folder and read it from there; the files go with ``release`` or when the program ends."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     remove_at_exit(spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    kept = spark.read.schema(df.schema).parquet(folder)
+    kept._kept_in = folder
+    return kept
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
