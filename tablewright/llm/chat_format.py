@@ -1,13 +1,16 @@
 """Chat formatting: records of many layouts become canonical turns, and turns become one marked text.
 
-A record's layout is the set of nested field paths that hold a value; its hash selects a declarative mapping that says
-where roles and texts stand. Paths that no mapping names don't count. The template marks each turn and escapes its
+A record's layout is the set of nested field paths that hold a value, out of those that one mapping names: of the mappings
+whose needed paths all hold a value, if it is only one; else of the turn rows. Its hash selects the declarative mapping that says where roles
+and texts stand. The template marks each turn and escapes its
 control strings inside roles and texts with a backslash, so the formatted text can be read back exactly. The loss
 mask covers the texts of the assistant's turns.
 
 A null text is empty, a null role is the empty role, a null turn number comes first, a null conversation id is one
 conversation; equal turn numbers are ordered by role and text, repeated rows are repeated turns. A record with an
-unknown layout keeps its fingerprint and has no turns. Extra columns are ignored, empty tables give no rows.
+unknown layout keeps its fingerprint and has no turns; where the table has turn rows (a role or a text), none is unknown. Extra
+columns are ignored, also those named like a path of a mapping that the record does not fill; to pin a layout pass its
+mapping alone. Roles stay as they are, save those of layouts that have names of their own for them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +58,7 @@ class Mapping:
     items: str | None = None
     role: str | None = None
     text: str | None = None
+    own_roles: bool = False
 
     def layouts(self) -> Iterator[tuple[str, ...]]:
         for n in range(len(self.may) + 1):
@@ -61,7 +66,7 @@ class Mapping:
                 yield tuple(sorted(self.needs + some))
 
 
-#: Other names of the three roles.
+#: Names of the three roles in layouts that have their own.
 ROLES = {"human": "user", "prompter": "user", "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
 
 MAPPINGS = (
@@ -69,7 +74,7 @@ MAPPINGS = (
     Mapping("prompt and response", ("prompt", "response"), ("system",), (Field("system", ("system",)), Field("user", ("prompt",)), Field(ASSISTANT, ("response",)))),
     Mapping("instruction", ("instruction", "output"), ("input",), (Field("user", ("instruction", "input")), Field(ASSISTANT, ("output",)))),
     Mapping("messages", ("messages[].role", "messages[].content"), (), items="messages", role="role", text="content"),
-    Mapping("from and value", ("conversations[].from", "conversations[].value"), (), items="conversations", role="from", text="value"),
+    Mapping("from and value", ("conversations[].from", "conversations[].value"), (), items="conversations", role="from", text="value", own_roles=True),
 )
 
 
@@ -105,11 +110,27 @@ def _fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+def _usable(df: DataFrame, mappings: tuple[Mapping, ...]) -> list[tuple[Mapping, Column]]:
+    """The mappings that the table's columns allow, and whether a record is of each: the only one it holds all needed paths of.
+
+    A mapping without needed paths, which come last, takes the records that are of no other.
+    """
+    held = _paths(df.schema)
+    fit = [m for m in mappings if set(m.needs) <= set(held) and set(m.needs + m.may) & set(held)]
+    whole = lambda m: reduce(lambda x, y: x & y, [held[p] for p in m.needs], F.lit(True))
+    told = [m for m in fit if m.needs]
+    count = reduce(lambda x, y: x + y, [whole(m).cast("int") for m in told], F.lit(0))
+    return [(m, whole(m) & (count == 1)) for m in told] + [(m, F.lit(True)) for m in fit if not m.needs]
+
+
 def layout_fingerprint(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Hash of the sorted paths that hold a value, among those that mappings name."""
-    known = {path for m in mappings for path in m.needs + m.may}
-    held = {path: has for path, has in _paths(df.schema).items() if path in known}
-    return _fingerprint(F.array_compact(F.array(*(F.when(held[p], F.lit(p)) for p in sorted(held)), F.lit(None).cast("string"))))
+    """Hash of the sorted paths that hold a value, among those of the mapping that fits best (of all, if none does)."""
+    held = _paths(df.schema)
+    among = lambda paths: F.array_compact(F.array(*(F.when(held[p], F.lit(p)) for p in sorted(set(paths) & set(held))), F.lit(None).cast("string")))
+    layout = among([p for m in mappings for p in m.needs + m.may])
+    for m, whole in reversed(_usable(df, mappings)):
+        layout = F.when(whole, among(m.needs + m.may)).otherwise(layout)
+    return _fingerprint(layout)
 
 
 def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -118,9 +139,7 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     turns = F.array().cast("array<struct<role: string, text: string>>")
     name = F.lit(None).cast("string")
     text = lambda path: F.col(f"`{path}`").cast("string")
-    for m in reversed(mappings):
-        if not set(m.needs) <= have or not set(m.needs + m.may) & have:
-            continue
+    for m, whole in reversed(_usable(df, mappings)):
         if m.items:
             made = _item_turns(m)
         else:
@@ -135,11 +154,11 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
                 parts.append(F.when(there_now, _turn(role, said)))
             made = F.array_compact(F.array(*parts))
         prints = [_fingerprint(F.array(*(F.lit(p) for p in layout)) if layout else F.array().cast("array<string>")) for layout in m.layouts()]
-        fits = F.col("_layout").isin(prints)
+        if m.own_roles:
+            made = F.transform(made, lambda x: F.struct(F.coalesce(F.create_map(*(F.lit(w) for kv in ROLES.items() for w in kv))[x["role"]], x["role"]).alias("role"), x["text"].alias("text")))
+        fits = whole & F.col("_layout").isin(prints)
         turns, name = F.when(fits, made).otherwise(turns), F.when(fits, m.name).otherwise(name)
-    renamed = F.transform("_turns", lambda x: F.struct(F.coalesce(F.create_map(*(F.lit(w) for kv in ROLES.items() for w in kv))[x["role"]], x["role"]).alias("role"), x["text"].alias("text")))
-    out = df.withColumn("_layout", layout_fingerprint(df, mappings)).withColumn("_turns", turns).withColumn("_mapping", name)
-    return out.withColumn("_turns", renamed)
+    return df.withColumn("_layout", layout_fingerprint(df, mappings)).withColumn("_turns", turns).withColumn("_mapping", name)
 
 
 def escape(text: str) -> str:
@@ -206,11 +225,15 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ``format_turns``' rows."""
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from ``format_turns``' rows.
+
+    The rows have to come as ``format_turns`` gives them, in its order and its partitions; a part out of turn is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
         open_: list = []
+        expected = 0
 
         def done() -> pa.RecordBatch:
             conv, n, turns, loss, lost, chars = open_
@@ -223,6 +246,9 @@ def digests(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             for conv, part, text, start, end in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if part and (not open_ or part != expected):
+                    raise ValueError("parts of a conversation have to be adjacent and in order")
+                expected = part + 1
                 if part == 0:
                     if open_:
                         ready.append(done())

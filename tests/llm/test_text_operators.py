@@ -322,6 +322,22 @@ def test_decontamination_of_parts_in_another_order(spark):
     assert got == best_windows(docs, items) and {(d, d % 4) for d in range(4)} <= set(got)
 
 
+def test_chat_rows_survive_any_extra_column(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "hi"), (1, 1, "gpt", "ho"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    want = {r.conv: tuple(r) for r in chat_format.digests(chat_format.format_turns(rows)).collect()}
+    assert want[1][1] == 2 and want[1][2] == hashlib.sha256(b"human\nhi\ngpt\nho\n").hexdigest() and want[2][1] == 1
+    for name in ("input", "system", "prompt", "response", "instruction", "output", "messages", "conversations"):
+        more = rows.selectExpr("*", f"'x' AS {name}")
+        assert {r.conv: tuple(r) for r in chat_format.digests(chat_format.format_turns(more)).collect()} == want, name
+    nested = rows.selectExpr("*", "array(named_struct('role', 'user', 'content', cast(null AS string))) AS messages")
+    assert {r.conv: tuple(r) for r in chat_format.digests(chat_format.format_turns(nested)).collect()} == want
+    pinned = rows.selectExpr("*", "'p' AS prompt", "'r' AS response")
+    found = chat_format.digests(chat_format.format_turns(pinned, mappings=chat_format.MAPPINGS[:1])).collect()
+    assert {r.conv: tuple(r) for r in found} == want
+    own = spark.sql("SELECT 1 AS id, array(named_struct('from', 'human', 'value', 'q'), named_struct('from', 'gpt', 'value', 'a')) AS conversations")
+    assert [tuple(t) for t in chat_format.canonical_turns(own).first()._turns] == [("user", "q"), ("assistant", "a")]
+
+
 def test_rows_without_id_and_with_equal_ids(spark):
     rng = random.Random(10)
     passage, clean, other, second = (" ".join(rng.choice([f"{c}{i}" for i in range(300)]) for _ in range(60)) for c in "pcox")
