@@ -22,6 +22,8 @@ PIECES = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)|
 
 #: White space, which no blank that starts a piece may follow.
 WHITE = re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001))))
+#: An English word with the blank before it, which the pattern takes whole and whose bytes a byte-level vocabulary writes as they are.
+WORD = re.compile(" ?[A-Za-z]+")
 #: Pieces, and parts between blanks, that are kept with their ids.
 CACHE = 400_000
 
@@ -50,6 +52,11 @@ class RunEncoder:
         self.known: dict[str, bytes] = {}
         self.blank: dict[str, bytes] = {}  # ids of a blank and a part
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words as ``WORD`` has them: the library's model alone, which spares the search for the words."""
+        cut = self.tokenizer.model.tokenize
+        return [array("I", [token.id for token in cut(word.replace(" ", "\u0120"))]).tobytes() for word in words]
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -62,7 +69,10 @@ class RunEncoder:
         blank, double = self.blank, [white + " " for white in WHITE]
         split = [[text] if text.startswith(" ") or any(white in text for white in double) else text.split(" ") for text in texts]
         if new := list({part for parts in split for part in parts[1:] if part not in blank}):
-            blank.update(zip(new, self._pieces([" " + part for part in new])))
+            words = [part for part in new if part.isascii() and part.isalpha()]
+            other = [part for part in new if not (part.isascii() and part.isalpha())]
+            blank.update(zip(words, self._words([" " + part for part in words])))
+            blank.update(zip(other, self._pieces([" " + part for part in other])))
         heads = self._pieces([parts[0] for parts in split])
         return [b"".join([head, *[blank[part] for part in parts[1:]]]) for head, parts in zip(heads, split)]
 
@@ -72,7 +82,10 @@ class RunEncoder:
             self.known.clear()
         known = self.known
         if new := list({run for runs in found for run in runs if run not in known}):
-            known.update(zip(new, self._library(new)))
+            words = [run for run in new if WORD.fullmatch(run)]
+            other = [run for run in new if not WORD.fullmatch(run)]
+            known.update(zip(words, self._words(words)))
+            known.update(zip(other, self._library(other)))
         return [b"".join([known[run] for run in runs]) for runs in found]
 
     def token_bytes(self) -> list[bytes]:
