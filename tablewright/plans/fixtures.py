@@ -106,10 +106,10 @@ SQL = {
                  WHEN 6 THEN concat('wire ', o.Invoice_No, ' part') ELSE o.Invoice_No END AS Payment_Ref,
                CASE o._row_idx % 20 WHEN 5 THEN 'Zzyzx Qwortch Bvlgari' WHEN 4 THEN lower(o.Customer_Name)
                  ELSE o.Customer_Name END AS Customer,
-               CASE o._row_idx % 20 WHEN 1 THEN round(o.Amount / 2, 2) WHEN 2 THEN round(o.Amount - 50, 2) ELSE o.Amount END AS Paid_Amount
+               CASE o._row_idx % 20 WHEN 1 THEN floor(o.Amount * 50) / 100 WHEN 2 THEN round(o.Amount - 50, 2) ELSE o.Amount END AS Paid_Amount
         FROM invoices o WHERE o._row_idx % 20 <> 0
         UNION ALL
-        SELECT o._row_idx * 2 + 1, o.Invoice_No, o.Customer_Name, round(o.Amount / 2, 2) FROM invoices o WHERE o._row_idx % 20 = 1
+        SELECT o._row_idx * 2 + 1, o.Invoice_No, o.Customer_Name, floor(o.Amount * 50) / 100 FROM invoices o WHERE o._row_idx % 20 = 1
         UNION ALL
         SELECT o._row_idx * 2 + 1, concat('TXN', lpad(cast(o._row_idx AS string), 9, '0')), 'Mxyzptlk Jhvwqz', 77.5
         FROM invoices o WHERE o._row_idx % 20 = 7""",
