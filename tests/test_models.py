@@ -159,3 +159,45 @@ def test_entities_match_the_sequence(spark):
         assert got == want, batch
     shuffled = entities.resolve(records.repartition(7, "name"), 3)
     assert {r._rec: r._entity_id for r in shuffled.collect()} == want
+
+
+def test_a_part_of_many_claims_is_replayed():
+    """All payments are close to all invoices; some are own to an invoice that an earlier one may rob."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    count, never = 400, reconcile.NEVER
+    asked = [(i, 1, 1000.0 + rng.randrange(120)) for i in range(count)]
+    offered = [(p, rng.choice([1, 2]), 1000.0 + rng.randrange(120), rng.choice([never, rng.randrange(count)])) for p in range(count)]
+    rows = [(0, 1, 1, 0.0, never), (0, 1, 2, 0.0, never)] + [(1, *a, never) for a in asked] + [(2, *o) for o in offered]
+    frame = pd.DataFrame(rows, columns=["kind", "row", "name", "amount", "deadline"])
+    used, want = set(), []
+    for i, _, amount in asked:
+        own = [p for p, _, _, due in offered if due == i and p not in used]
+        used.update(own)
+        near = [p for p, _, paid, due in offered if p not in used and abs(amount - paid) / amount <= 0.05]
+        if not own and near:
+            used.add(near[0])
+            want.append((i, near[0]))
+    assert [*reconcile._replay(frame).itertuples(index=False, name=None)] == want and len(want) > 100
+    big = 20_000
+    rows = [(0, 1, 1, 0.0, never)] + [(1, i, 1, 1000.0 + i / 1000, never) for i in range(big)] + [(2, p, 1, 1000.0 + p / 1000, never) for p in range(big)]
+    found = reconcile._replay(pd.DataFrame(rows, columns=["kind", "row", "name", "amount", "deadline"]))
+    assert (found.i == found.p).all() and len(found) == big
+
+
+def test_links_are_counted_as_listed(spark):
+    rng = random.Random(6)
+    people = ["Ann Smith", "Ann Smyth", "Bo Li", "Carla Gomez"]
+    amounts = [100.0, 110.0, 110.01, 95.0, 105.0, 200.0, 190.0, 210.0, 0.0, -5.0, -15.0, 1000.1, 950.095, 1050.105, float("inf"), float("nan")]
+    inv = spark.createDataFrame([(i, f"INV-{i}", rng.choice(people), rng.choice(amounts)) for i in range(80)], "_row_idx long, Invoice_No string, Customer_Name string, Amount double")
+    pay = spark.createDataFrame([(p, "", rng.choice(people), rng.choice(amounts)) for p in range(90)], "_row_idx long, Payment_Ref string, Customer string, Paid_Amount double")
+    a, b = inv.collect(), pay.collect()
+    near = lambda x, y: abs(x - y) <= 10 or (0 < x < float("inf") and abs(x - y) / x <= 0.05)
+    pairs = [(x._row_idx, y._row_idx) for x in a for y in b if token_sort(x.Customer_Name.lower(), y.Customer.lower()) >= 80 and near(x.Amount, y.Paid_Amount)]
+    want = {("invoice", x._row_idx): sum(i == x._row_idx for i, _ in pairs) for x in a} | {("payment", y._row_idx): sum(p == y._row_idx for _, p in pairs) for y in b}
+    rows = reconcile.similar_links(reconcile.invoices_view(inv), reconcile.payments_view(pay)).collect()
+    assert {(r.side, r.row): r.links for r in rows} == want and len(rows) == len(want)
+    first = lambda rows, row, name, amount: min(r._row_idx for r in rows if (r[name], str(r[amount])) == (row[name], str(row[amount])))
+    classes = {("invoice", x._row_idx): first(a, x, "Customer_Name", "Amount") for x in a} | {("payment", y._row_idx): first(b, y, "Customer", "Paid_Amount") for y in b}
+    assert {(r.side, r.row): r.class_id for r in rows} == classes
