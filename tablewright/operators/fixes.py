@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from tablewright.functions.numbers import float_text, parse_money, parse_plain
 from tablewright.functions.text import EMPTY_FIX, is_empty, strip, title_case
-from tablewright.session import cut_lineage
-from tablewright.operators.columns import ROW, data_columns, exact_quantiles, fences, number_cells, text_cells, value_counts
+from tablewright.session import cut_lineage, keep, spread
+from tablewright.operators.columns import FENCE_MIN, ROW, data_columns, exact_quantiles, fences, number_cells, text_cells, value_counts
 
 STEPS = ("remove_duplicates", "normalize_cities", "fill_missing", "remove_anomalies")
 
@@ -37,7 +37,7 @@ def fill_values(df: DataFrame) -> DataFrame:
     """
     cells = text_cells(df)
     gaps = cells.groupBy("ord").agg(F.count_if(is_empty(F.col("value"), EMPTY_FIX)).alias("gaps")).where("gaps > 0")
-    medians = exact_quantiles(number_cells(df, parse=parse_plain), ["ord"], "x", [0.5])
+    medians = exact_quantiles(keep(number_cells(df, parse=parse_plain)), ["ord"], "x", [0.5])
     worded = (
         cells.join(F.broadcast(gaps), "ord", "left_semi")
         .join(F.broadcast(medians), "ord", "left_anti")
@@ -66,35 +66,37 @@ def fill_missing(df: DataFrame) -> DataFrame:
 def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Drop rows outside the fences, column by column, each fence from the rows still there.
 
-    The fences of one column, two numbers, are fetched before the next column is looked at. What is returned
-    is the input under one conjunctive filter, so nothing needs to be materialized between the steps.
+    The table is written once, evenly spread, and so are its numbers; all steps read these. The fences of one column, two numbers, are fetched
+    before the next column is looked at. What is returned is that table under one conjunctive filter.
     """
-    columns = list(columns or data_columns(df))
-    counts = number_cells(df, columns).groupBy("column").agg(F.count("*").alias("n")).where("n >= 4")
-    numeric = {row["column"] for row in counts.collect()}  # at most one row per column
+    df, columns = spread(df), list(columns or data_columns(df))
+    parsed = [parse_money(F.col(f"`{name}`").cast("string")) for name in columns]
+    numbers = keep(df.select(*[x.alias(f"x{i}") for i, x in enumerate(parsed)]))
+    counts = numbers.agg(*[F.count(c) for c in numbers.columns]).first()
     kept = df
-    for name in columns:
-        if name not in numeric:
+    for i, x in enumerate(parsed):
+        if counts[i] < FENCE_MIN:
             continue
-        bounds = fences(number_cells(kept, [name]), ["ord"]).first()
+        own = F.col(f"x{i}")
+        bounds = fences(numbers.where(own.isNotNull()).select(F.lit(0).alias("ord"), own.alias("x")), ["ord"]).first()
         if bounds is None:
             continue
-        x = parse_money(F.col(f"`{name}`").cast("string"))
-        kept = kept.where(x.isNull() | x.between(bounds["lower_bound"], bounds["upper_bound"]))
+        inside = lambda c: c.isNull() | c.between(bounds["lower_bound"], bounds["upper_bound"])  # noqa: B023, E731
+        kept, numbers = kept.where(inside(x)), numbers.where(inside(own))
     return kept
 
 
 def remove_outliers_single_pass(df: DataFrame) -> DataFrame:
     """Cheaper variant: all fences from the unfiltered table. Not the same result as step by step."""
-    numbers = number_cells(df)
+    numbers = keep(number_cells(df))
     entry = F.struct("ord", F.struct("lower_bound", "upper_bound").alias("b"))
     bounds = fences(numbers, ["ord"]).agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    keep = F.lit(True)
+    held = F.lit(True)
     for i, name in enumerate(data_columns(df)):
         x = parse_money(F.col(f"`{name}`").cast("string"))
         b = F.try_element_at(bounds, F.lit(i))
-        keep = keep & (x.isNull() | b.isNull() | x.between(b["lower_bound"], b["upper_bound"]))
-    return df.where(keep)
+        held = held & (x.isNull() | b.isNull() | x.between(b["lower_bound"], b["upper_bound"]))
+    return df.where(held)
 
 
 def apply_fixes(df: DataFrame, selected: Sequence[str]) -> DataFrame:
@@ -144,6 +146,7 @@ def score_gain(df: DataFrame, selected: Sequence[str], dataset: str = "table") -
     """Overall quality before and after the selected fixes."""
     from tablewright.operators.quality import scorecard
 
+    df = spread(df)
     before = scorecard(df, dataset).select("dataset", F.col("overall_quality").alias("before"))
-    after = scorecard(apply_fixes(df, selected), dataset).select("dataset", F.col("overall_quality").alias("after"))
+    after = scorecard(spread(apply_fixes(df, selected)), dataset).select("dataset", F.col("overall_quality").alias("after"))
     return before.join(after, "dataset").withColumn("gain", F.col("after") - F.col("before"))

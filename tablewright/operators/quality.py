@@ -17,6 +17,7 @@ from tablewright.operators.columns import (
     text_cells,
 )
 from tablewright.operators.profile import completeness_tier
+from tablewright.session import keep, spread
 
 # Columns whose names mark them as never negative.
 POSITIVE_NAMES = (
@@ -71,22 +72,25 @@ ISSUE_TEXTS = {
 }
 
 
-def spellings(df: DataFrame) -> DataFrame:
+def spellings(df: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Distinct trimmed values with cased letters: ``(ord, column, folded, v, first)``, ``first`` the row that has it first.
 
     A value without cased letters has no variants and is dropped before the shuffle, which spares numbers,
     dates and most ids. Distinct values are formed map-side, so a value in a third of all rows is no hot key.
+    ``only`` (ord, folded), a row a column, leaves those groups alone, before anything is shuffled.
     """
     value = strip(F.col("value"))
     cells = text_cells(df, keep=[ROW] if ROW in df.columns else [])
     row = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
-    return (
+    cased = (
         cells.where(~is_empty(F.col("value")))
         .select("ord", "column", value.alias("v"), row.alias("_row"))
         .where(F.lower("v") != F.upper("v"))
-        .groupBy("ord", "column", F.lower("v").alias("folded"), "v")
-        .agg(F.min("_row").alias("first"))
+        .withColumn("folded", F.lower("v"))
     )
+    if only is not None:
+        cased = cased.join(F.broadcast(only), ["ord", "folded"], "left_semi")
+    return cased.groupBy("ord", "column", "folded", "v").agg(F.min("_row").alias("first"))
 
 
 def case_groups(df: DataFrame) -> DataFrame:
@@ -101,13 +105,13 @@ def case_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def case_variants(df: DataFrame) -> DataFrame:
+def case_variants(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per column: groups with variants, surplus spellings and the spellings of the alphabetically first group.
 
-    Only the spellings of that group, which make up the shown text, are put together.
+    Only the spellings of that group, which make up the shown text, are put together. ``counts``: ``case_counts``, if known.
     """
-    counts, order = case_counts(df), F.struct("first", "v")
-    shown = spellings(df).join(counts.select("ord", "folded").hint("merge"), ["ord", "folded"]).groupBy("ord").agg(F.array_sort(F.collect_list(order))["v"].alias("texts"))
+    counts, order = case_counts(df) if counts is None else counts, F.struct("first", "v")
+    shown = spellings(df, counts.select("ord", "folded")).groupBy("ord").agg(F.array_sort(F.collect_list(order))["v"].alias("texts"))
     return counts.join(shown.hint("merge"), "ord").select("ord", "column", "groups", "surplus", F.array_join("texts", ", ").alias("example"))
 
 
@@ -129,7 +133,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def outlier_counts(df: DataFrame) -> DataFrame:
     """Cells outside the fences, for every column with at least four numbers."""
-    numbers = number_cells(df)
+    numbers = keep(number_cells(df))  # read three times
     bounds = fences(numbers, ["ord"])
     joined = numbers.join(F.broadcast(bounds), "ord")
     return joined.groupBy("ord", "column").agg(
@@ -155,7 +159,7 @@ def outlier_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def outlier_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """The outlying cells themselves: ``(column, _row_idx, value)``."""
-    numbers = number_cells(df, columns, [ROW])
+    numbers = keep(number_cells(df, columns, [ROW]))
     joined = numbers.join(F.broadcast(fences(numbers, ["ord"])), "ord")
     return joined.where(outside(F.col("x"), F.col("lower_bound"), F.col("upper_bound"))).select(
         "column", ROW, F.col("x").alias("value")
@@ -169,11 +173,14 @@ def is_mixed() -> F.Column:
     return F.coalesce((share < 0.95) & (share > 0.05), F.lit(False))
 
 
-def column_checks(df: DataFrame) -> DataFrame:
-    """One row per column with the counts behind every dimension; numbers only, so small enough to broadcast."""
+def column_checks(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row per column with the counts behind every dimension; numbers only, so small enough to broadcast.
+
+    ``counts``: ``case_counts``, if known.
+    """
     positive = [c for c in data_columns(df) if has_keyword(c, POSITIVE_NAMES)]
     facts = column_facts(text_cells(df))
-    variants = case_counts(df).select("ord", "surplus")
+    variants = (case_counts(df) if counts is None else counts).select("ord", "surplus")
     outliers = outlier_counts(df).select("ord", "outliers_count")
     joined = facts.join(F.broadcast(variants), "ord", "left").join(F.broadcast(outliers), "ord", "left")
     zero = F.lit(0).cast("bigint")
@@ -271,8 +278,10 @@ def _issue(kind: str, prefix: str, severity: F.Column, seq: int, count: str) ->
 
 def issues(df: DataFrame) -> DataFrame:
     """Every finding as a row, numbered by dimension and then by column."""
-    examples = case_variants(df).select("ord", "example")
-    checks = column_checks(df).withColumn("mixed", F.col("mixed").cast("int")).join(examples.hint("merge"), "ord", "left")
+    df = spread(df)
+    counts = keep(case_counts(df))
+    examples = case_variants(df, counts).select("ord", "example")
+    checks = column_checks(df, counts).withColumn("mixed", F.col("mixed").cast("int")).join(examples.hint("merge"), "ord", "left")
     checks = checks.withColumn(
         "reported", F.when(F.lower("column").isin(*OUTLIER_NAMES), F.col("outliers")).otherwise(F.lit(0))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.numbers import clamp, parse_money, parse_plain
 from tablewright.functions.text import has_keyword
 from tablewright.operators.columns import data_columns, number_cells, text_cells, value_counts
+from tablewright.session import spread
 
 # Exact lower-case names of target columns.
 TARGETS = ("churn", "target", "label", "exited")
@@ -202,7 +203,7 @@ def table_readiness(df: DataFrame, dataset: str, selected: list[str] | None = No
     from tablewright.operators.access import scoped
     from tablewright.operators.quality import scorecard
 
-    scope = scoped(df, selected)
+    scope = spread(scoped(df, selected))
     result = readiness(scorecard(scope, dataset), suitability(scope, dataset), security_status)
     total = len(data_columns(df))
     return result.select(

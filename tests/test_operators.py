@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import dates, numbers, similarity, text
 from tablewright.functions.masking import mask_value
-from tablewright.operators import access, columns, entities, fixes, inventory, merge, monitor, privacy, profile, quality, reconcile, rules, schemas, suitability
+from tablewright.operators import access, columns, entities, fixes, inventory, merge, monitor, privacy, profile, quality, reconcile, rules, schemas, simjoin, suitability
 from tablewright.sources import files
 
 
@@ -277,3 +277,23 @@ def test_stock_deviates_only_by_a_given_test(spark):
     stock = spark.createDataFrame([(0, "a", "p", 11)], "_row_idx long, SKU string, Product_Name string, Stock_Remaining int")
     assert inventory.reconcile_inventory(pos, stock).count() == 0
     assert inventory.reconcile_inventory(pos, stock, lambda left, sold: left > sold).first().anomaly_type == "Stock-Sales Discrepancy"
+
+
+def test_scans_are_not_repeated(spark, monkeypatch):
+    """Numbers are parsed once for all steps, spellings are counted once for all issues."""
+    rows = [(i, str(v), f"{v}.5", "Ab" if i % 2 else "ab") for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 1000, -900, 3])]
+    df = spark.createDataFrame(rows, "_row_idx long, Revenue string, Cost string, Name string").repartition(3)
+    parsed, counted = [], []
+    plain_cells, plain_counts = fixes.number_cells, quality.case_counts
+    monkeypatch.setattr(fixes, "number_cells", lambda *a, **k: parsed.append(1) or plain_cells(*a, **k))
+    monkeypatch.setattr(quality, "case_counts", lambda *a, **k: counted.append(1) or plain_counts(*a, **k))
+    assert sorted(r._row_idx for r in fixes.remove_outliers(df).collect()) == [0, 1, 2, 3, 4, 5, 6, 9]
+    found = {r.id: r.description for r in quality.issues(df).collect()}
+    assert "ab, Ab" in found["consistent_Name"] and not parsed and len(counted) == 1
+
+
+def test_windows_are_counted_without_texts(spark):
+    small, large = spark.createDataFrame([("aaaaaaaaab",)], "small string"), spark.createDataFrame([("xaaaaaaaaaby",)], "large string")
+    found = simjoin.contained(small, large)
+    assert "count(distinct" not in found._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in found.collect()] == [("aaaaaaaaab", "xaaaaaaaaaby")]
