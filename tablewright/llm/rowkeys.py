@@ -8,7 +8,7 @@ hold texts, stay where they are, whatever the length of the list.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,10 @@ def with_key(docs: DataFrame, name: str) -> DataFrame:
 
 
 class RowLists:
-    """Lists of row numbers by file."""
+    """Lists of row numbers by file, with other columns of whole numbers."""
 
     def __init__(self, keys: DataFrame) -> None:
-        """``keys``: (file, row), each once."""
+        """``keys``: (file, row, ...), each file and row once."""
         spark = keys.sparkSession
         self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         keys.repartition("file").write.partitionBy("file").parquet(self.folder)
@@ -49,12 +49,19 @@ class RowLists:
 
     def of(self, file: int) -> np.ndarray:
         """The sorted row numbers of a file."""
+        return self.columns(file, [])[0]
+
+    def columns(self, file: int, names: list[str]) -> list[np.ndarray]:
+        """The sorted row numbers of a file, and the columns ``names`` in their order."""
         from pyarrow import fs, parquet
 
         system, base = fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (fs.LocalFileSystem(), self.folder)
-        found = system.get_file_info(fs.FileSelector(f"{base}/file={file}", allow_not_found=True))
-        rows = [parquet.read_table(f.path, filesystem=system, columns=["row"]).column("row").to_numpy() for f in found if f.path.endswith(".parquet")]
-        return np.sort(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+        found = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/file={file}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        if not found:
+            return [np.zeros(0, np.int64) for _ in ["row", *names]]
+        table = pa.concat_tables(parquet.read_table(path, filesystem=system, columns=["row", *names], partitioning=None) for path in found)
+        order = np.argsort(table.column("row").to_numpy())
+        return [table.column(name).to_numpy()[order] for name in ["row", *names]]
 
 
 def picked(keyed: DataFrame, name: str, keys: DataFrame, listed: bool = True) -> DataFrame:
@@ -80,3 +87,28 @@ def picked(keyed: DataFrame, name: str, keys: DataFrame, listed: bool = True) ->
     small_batches(keyed.sparkSession)
     rows = keyed.select(*[F.col(f"`{c}`") for c in [*columns, name]])
     return rows.mapInArrow(run, rows.drop(name).schema)
+
+
+def worked(keyed: DataFrame, name: str, lists: RowLists, more: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work`` over the Arrow batches of the rows of ``keyed`` whose key ``name`` is in ``lists``, which have the columns ``more`` of the lists for the key.
+
+    Rows are looked up in the Python process that works on them, so a task has one.
+    """
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, [np.zeros(0, np.int64)]
+        for batch in batches:
+            files, at = (batch.column(batch.num_columns - 1).field(k).to_numpy() for k in (0, 1))
+            rest = batch.select(list(range(batch.num_columns - 1)))
+            for file in np.unique(files).tolist():
+                if file != now:
+                    now, known = file, lists.columns(file, more)
+                own = np.flatnonzero(files == file)
+                own = own[np.isin(at[own], known[0])]
+                found = np.searchsorted(known[0], at[own])
+                taken = rest.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(column[found]) for column in known[1:])], names=[*rest.schema.names, *more])
+
+    small_batches(keyed.sparkSession)
+    rows = keyed.select(*[F.col(f"`{c}`") for c in [*(c for c in keyed.columns if c != name), name]])
+    return rows.mapInArrow(lambda batches: work(looked_up(batches)), schema)

@@ -97,3 +97,45 @@ def test_edges_are_real_pairs():
     a, b = simhash_dedup.links_within(group, fp, 11)
     assert (np.bitwise_count(fp[a] ^ fp[b]) <= 11).all() and len(a) < len(fp)
     assert len(set(components(len(fp), zip(a.tolist(), b.tolist())))) == len(fp) - len(a)
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id for r in near_copies.drop_near_copies(docs).collect()}
+
+
+def lowest_ids(texts):
+    bags = [bag(t) for t in texts]
+    groups = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(bags[i], bags[j]) >= 0.8])
+    return {groups.index(own) for own in groups}
+
+
+def test_near_copies_beyond_the_radius(spark):
+    """Every pair of a similarity of 0.8 counts, however far its fingerprints lie apart."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(250):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(14, 40))]
+        texts += [" ".join(words), " ".join([*words[:-1], f"x{i}"])]
+    fp = [simhash_dedup.bits_of(near_copies.shingles(near_copies.words(t), near_copies.FINGERPRINT_WORDS)) for t in texts]
+    assert any((fp[i] ^ fp[i + 1]).bit_count() > near_copies.RADIUS for i in range(0, 500, 2))
+    expected = lowest_ids(texts)
+    assert len(expected) == 250 and kept_ids(spark, texts) == expected
+
+
+def test_near_copies_in_a_large_group(spark):
+    """Chains of edits of one text, shared passages and repeated words: the groups of all pairs, and nothing else goes."""
+    rng = random.Random(7)
+    letters = [f"{a}{b}" for a in "bdfk" for b in "aeiou"]
+    passage = [rng.choice(letters) for _ in range(30)]
+    texts = []
+    for size in (12, 40, 90):
+        words = rng.choices(letters, k=size)
+        for _ in range(60):
+            words[rng.randrange(size)] = rng.choice(letters)
+            texts.append(" ".join(words))
+    texts += [" ".join([*rng.choices(letters, k=n), *passage]) for n in range(5, 45) for _ in range(2)]
+    texts += [" ".join(["la"] * n) for n in range(1, 30)]
+    rng.shuffle(texts)
+    expected = lowest_ids(texts)
+    assert 50 < len(expected) < len(texts) - 50 and kept_ids(spark, texts) == expected
