@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces, small_batches
+from tablewright.llm.batches import give_back, pieces, small_batches
 
 #: Unicode white space, as the pattern's \s has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -188,6 +188,7 @@ def codec(path: str, pattern: str) -> Iterator[Codec]:
         yield own
     finally:
         own.close()
+        give_back()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces, small_batches
+from tablewright.llm.batches import give_back, pieces, small_batches
 from tablewright.llm.components import components
 from tablewright.llm.rowkeys import RowLists, free_name, picked, with_key, worked
 from tablewright.llm.simhash_dedup import _linker, bits_of, gray_rank
@@ -119,6 +119,7 @@ def verified(edges: DataFrame, bags: DataFrame, similarity: float = SIMILARITY)
         for batch in batches:
             alike = [common(x, y) >= similarity - 1e-12 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+        give_back()
 
     one, two = (bags.select(F.col("number").alias(side), F.col("bag").alias(f"bag_{side}")) for side in "ab")
     return edges.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
@@ -177,6 +178,8 @@ def _common_cells(given: DataFrame, key: str, lists: RowLists) -> RowLists:
                     now, held = part, []
                 held.append(cells)
         yield counted()
+        held.clear()
+        give_back()
 
     parts = worked(given, key, lists, [], cut, "part int, cells binary").repartition("part").sortWithinPartitions("part")
     cells = keep(parts.mapInArrow(count, "row long, level long"))

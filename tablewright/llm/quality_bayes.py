@@ -12,6 +12,7 @@ hosts and paths are a site of their own. Rows with equal ids are judged each. An
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import PIECE_BYTES, small_batches, text_bytes
+from tablewright.llm.batches import give_back, small_batches, text_bytes
 from tablewright.session import keep
 
 SAMPLE_ROWS = 4000
 SITE_WEIGHT = 0.5
 STRENGTHS = (1.0, 10_000.0)
+#: Bytes of text whose groups are counted at once; each takes some thirty bytes meanwhile.
+COUNTED_BYTES = 1 << 18
 
 #: Groups of bytes whose shares of a text are the features.
 GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"|", b"!", b".,;:?", b"#*$%&<>@=+_~^/{}[]")
@@ -59,7 +62,7 @@ def features(texts: pa.Array) -> np.ndarray:
     counts, repeated = np.zeros((n, k)), np.zeros(n)
     start = 0
     while start < n:  # bounded numbers of bytes at once
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + PIECE_BYTES, side="right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + COUNTED_BYTES, side="right")) - 1)
         part = flat[offsets[start] : offsets[stop]]
         owner = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
         counts[start:stop] = np.bincount(owner * k + GROUP_OF[part], minlength=(stop - start) * k).reshape(-1, k)
@@ -90,10 +93,13 @@ def _evidence(model: Model | None, text: Column) -> Column:
         return F.lit(0.0)
 
     @F.arrow_udf("double")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(model.log_odds(texts))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array(model.log_odds(texts))
+        give_back()
 
-    return run(text.cast("string"))
+    # never null, and Spark is told so: a filter for that would run the function a second time, in processes of its own
+    return F.coalesce(run(text.cast("string")), F.lit(0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model | None:
@@ -104,8 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), id_col)  # ``rows`` rows
 
     @F.arrow_udf("array<double>")
-    def measured(texts: pa.Array) -> pa.Array:
-        return pa.array(list(features(texts)), pa.list_(pa.float64()))
+    def measured(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array(list(features(texts)), pa.list_(pa.float64()))
+        give_back()
 
     got = own.where(F.octet_length("_text") > 0).select(F.col("_label").cast("int").alias("y"), measured("_text").alias("x")).limit(2 * rows).toPandas()
     y = (got["y"].to_numpy() > 0).astype(float)

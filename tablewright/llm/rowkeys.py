@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import small_batches
+from tablewright.llm.batches import give_back, small_batches
 from tablewright.session import keep, remove_at_exit, shared_folder
 
 
@@ -83,6 +83,7 @@ def picked(keyed: DataFrame, name: str, keys: DataFrame, listed: bool = True) ->
                 mask[own] = np.isin(at[own], rows, assume_unique=False)
             rest = batch.select(list(range(batch.num_columns - 1)))
             yield rest.filter(pa.array(mask if listed else ~mask))
+        give_back()
 
     small_batches(keyed.sparkSession)
     rows = keyed.select(*[F.col(f"`{c}`") for c in [*columns, name]])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.batches import pieces, small_batches
+from tablewright.llm.batches import give_back, pieces, small_batches
 from tablewright.llm.components import components
 from tablewright.session import keep
 
@@ -235,6 +235,7 @@ def _linker(radius: int):
                 yield found(stop)
                 top, node, fp, name = top[stop:], node[stop:], fp[stop:], name[stop:]
         yield found(len(fp))
+        give_back()
 
     return run
 

@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -261,6 +263,23 @@ def test_quality(spark, edges, nothing):
     assert quality_bayes.scored(nothing, labels).count() == 0 and quality_bayes.drop_poor(nothing, labels).count() == 0
 
 
+def test_quality_measures_a_text_once_a_pass_in_little_memory(spark):
+    texts = [f"{'plain words of some length' if i % 2 else '!! $$ || ##'} {i} " * 9 for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    kept = quality_bayes.drop_poor(docs, labels)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id for r in kept.collect()} == set(range(1, 40, 2))
+    large = pa.array([text * 100 for text in texts] * 4)
+    quality_bayes.features(large[:1])
+    tracemalloc.start()
+    together = quality_bayes.features(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert large.nbytes > 2_000_000 and peak < 24_000_000
+    assert (together == np.concatenate([quality_bayes.features(large[i : i + 1]) for i in range(len(large))])).all()
+
+
 def best_windows(docs, items, similarity=0.8):
     grams = lambda words, k: [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
     out = {}
