@@ -1,10 +1,12 @@
 """Similarity and containment joins against all pairs, and the number of candidates."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright import session
 from tablewright.functions.similarity import _lcs
 from tablewright.operators import names, reconcile, simjoin
 
@@ -92,3 +94,31 @@ def test_names_in_small_batches(spark):
     forms = spark.createDataFrame([(t,) for t in texts if t], "norm string")
     whole, parts = ({r.norm: r.leader for r in names.leaders_of_names(forms, batch=b).collect()} for b in (1000, 7))
     assert whole == parts and set(whole) == {t for t in texts if t}
+
+
+def test_longer_texts_alone_are_looked_into(spark):
+    """Windows are made of texts that can hold a shorter one, by whole lengths or by windows, whichever is less."""
+    assert simjoin._widths({12: 1000}, {12: 950, 20: 50}, 1) == ([], [(12, 13)])
+    assert simjoin._widths(dict.fromkeys(range(8, 16), 1), {40: 1000}, 0) == ([3], [(8, 8)])
+    rng = random.Random(10)
+    some = lambda count, *sizes: {"".join(rng.choice("ab") for _ in range(rng.choice(sizes))) for _ in range(count)}
+    for small, large in ((some(60, 6, 12), some(60, 6, 12, 20)), (some(60, *range(1, 24)), some(60, *range(60))), (some(20, 12), some(20, 5, 12))):
+        s_df, l_df = spark.createDataFrame([(s,) for s in small], "small string"), spark.createDataFrame([(t,) for t in large], "large string")
+        for proper in (False, True):
+            want = sorted((s, t) for s in small for t in large if len(s) >= 4 and s in t and not (proper and s == t))
+            assert sorted((r.small, r.large) for r in simjoin.contained(s_df, l_df, proper).collect()) == want
+
+
+def test_the_ledger_deletes_what_its_steps_wrote(spark):
+    """Tables and shuffle files of the steps would add up on disk."""
+    at = session.shared_folder(spark).removeprefix("file:")
+    tables = lambda: set(os.listdir(at)) if os.path.isdir(at) else set()
+    shuffled = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    inv = spark.createDataFrame([(i, f"INV-{i:04d}", "Ann Smith", 100.0) for i in range(30)], "_row_idx long, Invoice_No string, Customer_Name string, Amount double")
+    pay = spark.createDataFrame([(p, f"wire INV-{p:04d} part" if p % 3 else "", "Ann Smyth", 100.0) for p in range(30)], "_row_idx long, Payment_Ref string, Customer string, Paid_Amount double")
+    before = tables()
+    ledger = reconcile.payment_ledger(inv, pay)
+    assert len(tables() - before) <= 2 and ledger.where("status = 'Matched'").count() == 30
+    files = shuffled()
+    kept = session.keep_tidy(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffled() == files and kept.count() == 7
