@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tablewright.functions.similarity import _lcs
 from tablewright.operators import entities, names, reconcile
+from tablewright.plans import business_plans
 
 
 def ratio(a, b):
@@ -201,3 +204,22 @@ def test_links_are_counted_as_listed(spark):
     first = lambda rows, row, name, amount: min(r._row_idx for r in rows if (r[name], str(r[amount])) == (row[name], str(row[amount])))
     classes = {("invoice", x._row_idx): first(a, x, "Customer_Name", "Amount") for x in a} | {("payment", y._row_idx): first(b, y, "Customer", "Paid_Amount") for y in b}
     assert {(r.side, r.row): r.class_id for r in rows} == classes
+
+
+@pytest.mark.parametrize("slice_rows", [3, 4096])
+def test_similar_payments_are_listed_pair_by_pair(spark, monkeypatch, slice_rows):
+    """The query gives every pair, not a count of pairs a row; crowded amounts are cut into slices."""
+    rng = random.Random(8)
+    people = ["Ann Smith", "Ann Smyth", "smith ann", "Bo Li", "", None]
+    amounts = [100.0, 110.0, 95.0, 105.0, 200.0, 190.0, 0.0, -5.0, -15.0, 400.0, 420.0, 380.0, 950.095, 1000.1, 1050.105, float("inf"), float("nan"), None]
+    inv = spark.createDataFrame([(i, f"INV-{i}", rng.choice(people), rng.choice(amounts)) for i in range(70)], "_row_idx long, Invoice_No string, Customer_Name string, Amount double")
+    pay = spark.createDataFrame([(p, "", rng.choice(people), rng.choice(amounts)) for p in range(80)], "_row_idx long, Payment_Ref string, Customer string, Paid_Amount double")
+    near = lambda x, y: abs(x - y) <= 10 or (0 < x < float("inf") and abs(x - y) / x <= 0.05)
+    views = reconcile.invoices_view(inv).collect(), reconcile.payments_view(pay).collect()
+    alike = lambda x, y: x.i_cust and y.p_cust and token_sort(x.i_cust.lower(), y.p_cust.lower()) >= 80
+    want = sorted((x.i, y.p) for x in views[0] for y in views[1] if alike(x, y) and None not in (x.i_amt, y.p_amt) and near(x.i_amt, y.p_amt))
+    monkeypatch.setattr(business_plans, "billed", lambda *a: (inv, pay))
+    pairs = reconcile.similar_pairs
+    monkeypatch.setattr(reconcile, "similar_pairs", lambda *a: pairs(*a, slice_rows=slice_rows))
+    found = business_plans.payments_by_similarity(spark, "")
+    assert found.columns == ["i", "p"] and sorted(map(tuple, found.collect())) == want and len(want) > 100
